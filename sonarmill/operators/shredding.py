@@ -38,6 +38,11 @@ def _parsed(text: str | None) -> dict | None:
     return None
 
 
+def _sound(text: str) -> str:
+    """The text with halves of surrogate pairs, which JSON escapes allow, replaced by question marks."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
+
+
 def _kind(value: object) -> str:
     if isinstance(value, dict):
         return "object"
@@ -56,9 +61,9 @@ def _nodes(key: int, root: dict) -> Iterator[tuple]:
         value, parent, label, ordinal = stack.pop()
         kind = _kind(value)
         inner = kind in ("object", "array")
-        yield key, number, parent, label, ordinal, kind, None if inner or value is None else value if kind == "string" else json.dumps(value)
+        yield key, number, parent, label, ordinal, kind, None if inner or value is None else _sound(value) if kind == "string" else json.dumps(value)
         if kind == "object":
-            stack.extend((v, number, k, i) for i, (k, v) in reversed(list(enumerate(value.items()))))
+            stack.extend((v, number, _sound(k), i) for i, (k, v) in reversed(list(enumerate(value.items()))))
         elif kind == "array":
             stack.extend((v, number, None, i) for i, v in reversed(list(enumerate(value))))
         number += 1
@@ -111,11 +116,10 @@ def children(nodes: DataFrame, parents: DataFrame, name: str) -> DataFrame:
     A value that is an object is one child at 0; of an array, each element that is an object is a child at its place,
     all elements counted. Other values are none.
     """
-    held = members(nodes, parents, name)
-    single = held.where("kind = 'object'").select("id", "node", F.lit(0).alias("pos"), "parent_node", "parent_pos")
-    elements = nodes.where("kind = 'object' AND label IS NULL AND parent >= 0").select("id", "node", F.col("ordinal").alias("pos"), F.col("parent").alias("array_node"))
-    arrays = held.where("kind = 'array'").select("id", F.col("node").alias("array_node"), "parent_node", "parent_pos")
-    return single.unionByName(elements.join(arrays, ["id", "array_node"]).drop("array_node"))
+    held = members(nodes, parents, name).where("kind IN ('object', 'array')")
+    slots = F.array(F.struct(F.lit("object").alias("kind"), F.col("node").alias("value"), F.lit(0).alias("pos")), F.struct(F.lit("array").alias("kind"), F.col("parent").alias("value"), F.col("ordinal").alias("pos")))
+    objects = nodes.where("kind = 'object'").select("id", "node", F.inline(slots))
+    return objects.join(held.withColumnRenamed("node", "value"), ["id", "value", "kind"]).select("id", "node", "pos", "parent_node", "parent_pos")
 
 
 def entity(nodes: DataFrame, objects: DataFrame, fields: dict[str, tuple[str, ...]]) -> DataFrame:
