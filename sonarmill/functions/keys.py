@@ -23,8 +23,8 @@ def strip(c: Column | str) -> Column:
 
 
 def filled(c: Column) -> Column:
-    """Null instead of an empty text."""
-    return F.when(c != "", c)
+    """Null instead of an empty text. ``nullif`` names its argument once, where a condition would work it out twice."""
+    return F.nullif(c, F.lit(""))
 
 
 def split_name(c: Column | str) -> Column:
@@ -38,30 +38,34 @@ def group_key(c: Column | str) -> Column:
 
 
 def source_key(c: Column | str) -> Column:
-    return filled(F.translate(F.lower(strip(c)), "-", "_"))
+    return filled(F.replace(F.lower(strip(c)), F.lit("-"), F.lit("_")))
 
 
 def sha_key(c: Column | str) -> Column:
-    return filled(strip(F.regexp_replace(F.lower(strip(c)), "^sha256:", "")))
+    return filled(F.btrim(F.regexp_replace(F.lower(strip(c)), "^sha256:", ""), F.lit(BLANKS)))
+
+
+def _segment_text(c: Column | str) -> Column:
+    return F.replace(F.lower(strip(c)), F.lit("_"), F.lit(":"))
 
 
 def segment_key(c: Column | str) -> Column:
     """``<sha256>:<index>`` in lower case, ``_`` read as ``:``, the index without leading zeros."""
-    return filled(F.regexp_replace(F.translate(F.lower(strip(c)), "_", ":"), ":0+([0-9]+)$", ":$1"))
+    return filled(F.regexp_replace(_segment_text(c), ":0+([0-9]+)$", ":$1"))
 
 
-def segment_sha(key: Column) -> Column:
-    """The sha256 of a segment key; null where the key is not ``<sha256>:<index>``."""
-    return filled(F.regexp_extract(key, "^(.+):[0-9]{1,9}$", 1))
+def segment_sha(c: Column | str) -> Column:
+    """The sha256 of a segment id; null where the id is not ``<sha256>:<index>``."""
+    return filled(F.regexp_extract(_segment_text(c), "^(.+):[0-9]{1,9}$", 1))
 
 
-def segment_index(key: Column) -> Column:
-    return filled(F.regexp_extract(key, "^.+:([0-9]{1,9})$", 1)).cast("int")
+def segment_index(c: Column | str) -> Column:
+    return F.regexp_extract(_segment_text(c), ":([0-9]{1,9})$", 1).try_cast("int")
 
 
 def path_key(c: Column | str) -> Column:
     """A path with ``/`` steps, without empty and ``.`` steps, from its first known root on."""
     roots = "|".join(PATH_ROOTS)
-    rooted = F.concat(F.lit("/"), F.translate(strip(c), "\\", "/"))
+    rooted = F.concat(F.lit("/"), F.replace(strip(c), F.lit("\\"), F.lit("/")))
     steps = F.regexp_replace(rooted, "(?:/\\.?)+(?=/|$)", "")
     return filled(F.substring(F.regexp_replace(steps, f"(?s)^.*?(?=/(?:{roots})(?:/|$))", ""), 2, 1 << 30))
