@@ -7,7 +7,7 @@ cut, so copies cost nothing and a class of a third of all rows is one record.
 
 Two kinds of record need other chunks, for which content-defined cuts can't give the required result:
 
-* a segment is a stretch of samples, its chunks are the hop cells it covers (``cell_chunks``): two segments of one
+* a segment is a stretch of samples, its chunks are the hop cells it covers (``shared_cells``): two segments of one
   recording share a cell just if their indexes differ by at most 1;
 * a 128-bit print differs by flipped bits, and a flip moves or spoils every cut near it, so no cut rule promises a
   shared chunk. ``near_prints`` cuts at fixed bit positions and lets a chunk differ by as many bits as the pigeonhole
@@ -19,6 +19,7 @@ chunk; a print that isn't 32 hex digits is not given. Repeated rows are members
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,19 +80,21 @@ def cut(text: str, window: int = WINDOW, average: int = AVERAGE, least: int = LE
     return list(zip(starts.tolist(), stops.tolist(), digests.view(np.int64).tolist(), strict=True))
 
 
-def chunks(df: DataFrame, record: str, window: int = WINDOW, average: int = AVERAGE, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """``(record, digest, length)`` of the distinct texts in column ``record``, and ``size``, the text's length."""
+def chunks(df: DataFrame) -> DataFrame:
+    """``(record, digest, length, times, size)`` of the texts in ``record bigint, text``.
+
+    times: how often the record has the chunk; size: the record's length.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts, digests, lengths, sizes = [], [], [], []
-            for text in frame["record"]:
-                for start, end, digest in cut(text, window, average, least, most):
-                    texts.append(text), digests.append(digest), lengths.append(end - start), sizes.append(len(text))
-            yield pd.DataFrame({"record": texts, "digest": np.array(digests, np.int64), "length": np.array(lengths, np.int32), "size": np.array(sizes, np.int32)})
+            out = []
+            for record, text in zip(frame["record"].tolist(), frame["text"], strict=True):
+                size = len(text)
+                out += [(record, digest, length, times, size) for (digest, length), times in Counter((d, end - start) for start, end, d in cut(text)).items()]
+            yield pd.DataFrame(out, columns=["record", "digest", "length", "times", "size"])
 
-    rows = df.select(F.col(record).alias("record")).where("record IS NOT NULL AND record <> ''")
-    return rows.mapInPandas(run, "record string, digest bigint, length int, size int")
+    return df.select("record", "text").where("text IS NOT NULL AND text <> ''").mapInPandas(run, "record bigint, digest bigint, length int, times int, size int")
 
 
 def shared(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -99,36 +102,45 @@ def shared(left: DataFrame, right: DataFrame) -> DataFrame:
 
     A chunk that a record repeats counts as often as both records have it.
     """
-    each = [side.groupBy("record", "digest", "length", "size").agg(F.count("*").alias("times")) for side in (left, right)]
-    a = each[0].select(F.col("record").alias("left"), "digest", "length", F.col("size").alias("left_size"), F.col("times").alias("left_times"))
-    b = each[1].select(F.col("record").alias("right"), "digest", "length", F.col("size").alias("right_size"), F.col("times").alias("right_times"))
-    joined = a.join(b, ["digest", "length"])
+    a = left.select(F.col("record").alias("left"), "digest", "length", F.col("size").alias("left_size"), F.col("times").alias("left_times"))
+    b = right.select(F.col("record").alias("right"), "digest", "length", F.col("size").alias("right_size"), F.col("times").alias("right_times"))
     total = F.sum(F.col("length") * F.least("left_times", "right_times"))
-    return joined.groupBy("left", "right").agg((total / F.max(F.greatest("left_size", "right_size"))).alias("fraction"))
+    return a.join(b, ["digest", "length"]).groupBy("left", "right").agg((total / F.max(F.greatest("left_size", "right_size"))).alias("fraction"))
+
 
+def shared_cells(df: DataFrame, hop: int = 32_000, cells: int = 2) -> DataFrame:
+    """``(recording, left, right, fraction)``: segments of two sides that share samples; df: ``recording, index, side``, side 0 or 1.
 
-def cell_chunks(df: DataFrame, recording: str, index: str, hop: int = 32_000, cells: int = 2) -> DataFrame:
-    """The hop cells of each segment as chunks: ``(recording, index, cell, length, size)``. Segment i covers i .. i+cells-1."""
-    rows = df.select(F.col(recording).alias("recording"), F.col(index).alias("index")).where("recording IS NOT NULL AND index IS NOT NULL")
-    cell = F.explode(F.sequence(F.col("index"), F.col("index") + (cells - 1)))
-    return rows.select("recording", "index", cell.alias("cell"), F.lit(hop).alias("length"), F.lit(hop * cells).alias("size"))
+    Segment i covers the hop cells i .. i+cells-1, its chunks. A cell belongs to at most ``cells`` indexes of each side,
+    so who has it is kept in the bits of one number and a segment of a third of all rows is one bit.
+    """
+    cell = F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("offset")
+    held = df.where("recording IS NOT NULL AND index IS NOT NULL").select("recording", "index", "side", cell)
+    held = held.groupBy("recording", (F.col("index") + F.col("offset")).alias("cell")).agg(F.expr("bit_or(shiftleft(bigint(1), offset * 2 + side))").alias("who"))
+    evens = sum(1 << (2 * i) for i in range(cells))
+    both = held.where((F.col("who").bitwiseAND(F.lit(evens)) != 0) & (F.col("who").bitwiseAND(F.lit(2 * evens)) != 0))
+    ways = F.array(*[F.when((F.col("who").bitwiseAND(F.lit(1 << (2 * x))) != 0) & (F.col("who").bitwiseAND(F.lit(2 << (2 * y))) != 0), F.struct((F.col("cell") - x).alias("left"), (F.col("cell") - y).alias("right"))) for x in range(cells) for y in range(cells)])
+    pairs = both.select("recording", F.inline(F.array_compact(ways)))
+    return pairs.groupBy("recording", "left", "right").agg((F.sum(F.lit(hop)) / F.lit(hop * cells)).alias("fraction"))
 
 
 # prints
 
 
-def print_words(c: Column | str) -> Column:
-    """A print as four 32-bit words in an array of bigint; null where it isn't 32 hex digits."""
+def print_halves(c: Column | str) -> tuple[Column, Column]:
+    """The two 64-bit halves of a print, as bigint; null where it isn't 32 hex digits."""
     text = F.lower(strip(c))
-    words = [F.conv(F.substring(text, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(4)]
-    return F.when(text.rlike("^[0-9a-f]{32}$"), F.array(*words))
+    given = (F.length(text) == 32) & (F.translate(text, "0123456789abcdef", "") == "")
+    word = [F.conv(F.substring(text, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(4)]
+    return tuple(F.when(given, F.shiftleft(word[i], 32).bitwiseOR(word[i + 1])) for i in (0, 2))
 
 
 def pigeonhole(n_left: float, n_right: float, bits: int = PRINT_BITS, radius: int = PRINT_RADIUS) -> list[tuple[int, int, int]]:
     """``(first bit, width, flips)`` of the bands. Any two prints within ``radius`` agree on some band up to its flips.
 
-    That holds whenever the flips plus one, summed over the bands, exceed the radius. Of the layouts with at most one flip the one with the
-    fewest keys and expected chance candidates is taken; every layout is exact, only its cost depends on the counts.
+    That holds whenever the flips plus one, summed over the bands, exceed the radius. Of the layouts with at most one
+    flip a band the cheapest is taken, a chance candidate counted as a tenth of a key that is sent. Every layout is
+    exact; only its cost depends on the counts.
     """
     best, cost = [], float("inf")
     for m in range((radius + 2) // 2, radius + 2):
@@ -137,43 +149,40 @@ def pigeonhole(n_left: float, n_right: float, bits: int = PRINT_BITS, radius: in
         bands = [(edges[i], edges[i + 1] - edges[i], flips[i]) for i in range(m)]
         keys = sum(1 + w * f for _, w, f in bands)
         chance = sum((1 + w * f) * n_left * n_right / 2.0**w for _, w, f in bands)
-        if (now := keys * n_right + m * n_left + chance) < cost:
+        if (now := keys * n_right + m * n_left + 0.1 * chance) < cost:
             best, cost = bands, now
     return best
 
 
-def _band(words: Column, first: int, width: int) -> Column:
+def _band(hi: Column, lo: Column, first: int, width: int) -> Column:
+    """Bits ``first .. first+width-1`` of a print, counted from the highest, as a number."""
     out = F.lit(0).cast("bigint")
-    for i in range(first // 32, (first + width - 1) // 32 + 1):
-        low, high = max(first, 32 * i), min(first + width, 32 * i + 32)
-        part = F.shiftright(words.getItem(i), 32 * i + 32 - high).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint"))
-        out = F.shiftleft(out, high - low).bitwiseOR(part)
+    for half, base in ((hi, 0), (lo, 64)):
+        low, high = max(first, base), min(first + width, base + 64)
+        if low < high:
+            part = F.shiftrightunsigned(half, base + 64 - high).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint"))
+            out = F.shiftleft(out, high - low).bitwiseOR(part)
     return out
 
 
-def _keys(words: Column, bands: list[tuple[int, int, int]], flipped: bool) -> Column:
+def _keys(bands: list[tuple[int, int, int]], flipped: bool) -> Column:
     """Band keys with the band's number in the lowest digits; with ``flipped`` also those at one flipped bit, where the band allows it."""
     each = []
     for i, (first, width, flips) in enumerate(bands):
-        value = _band(words, first, width)
-        ways = F.array(value, *[value.bitwiseXOR(F.lit(1 << b).cast("bigint")) for b in range(width)]) if flipped and flips else F.array(value)
-        each.append(F.transform(ways, lambda x, i=i: x * F.lit(16) + F.lit(i)))
-    return F.explode(F.concat(*each))
-
-
-def distance(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(a.getItem(i).bitwiseXOR(b.getItem(i))) for i in range(1, 4)), F.bit_count(a.getItem(0).bitwiseXOR(b.getItem(0))))
+        value = _band(F.col("hi"), F.col("lo"), first, width)
+        ways = [value, *[value.bitwiseXOR(F.lit(1 << b).cast("bigint")) for b in range(width)]] if flipped and flips else [value]
+        each += [F.shiftleft(x, 4).bitwiseOR(F.lit(i).cast("bigint")) for x in ways]
+    return F.explode(F.array(*each))
 
 
-def near_prints(left: DataFrame, right: DataFrame, counts: tuple[int, int], radius: int = PRINT_RADIUS) -> DataFrame:
-    """Pairs ``(left, right)`` of prints within ``radius`` bits. Both sides: distinct prints in ``id bigint, words``.
+def near_prints(prints: DataFrame, n_left: float, n_right: float, radius: int = PRINT_RADIUS) -> DataFrame:
+    """Pairs ``(left_hi, left_lo, right_hi, right_lo)`` of prints of two sides within ``radius`` bits, each once.
 
-    The ids travel with the band keys, the words follow for the candidates only, whose distance is then computed.
-    ``counts`` are the rough sizes that the layout of the bands is chosen by.
+    prints: distinct ``hi, lo, sides``, bit 0 of sides for the left and bit 1 for the right side. ``n_left`` and
+    ``n_right`` are the rough sizes that the layout of the bands is chosen by.
     """
-    bands = pigeonhole(max(1, counts[0]), max(1, counts[1]), radius=radius)
-    a = left.select(F.col("id").alias("left"), _keys(F.col("words"), bands, False).alias("key"))
-    b = right.select(F.col("id").alias("right"), _keys(F.col("words"), bands, True).alias("key"))
-    candidates = a.join(b, "key").select("left", "right").distinct()
-    known = candidates.join(left.select(F.col("id").alias("left"), F.col("words").alias("left_words")), "left").join(right.select(F.col("id").alias("right"), F.col("words").alias("right_words")), "right")
-    return known.where(distance(F.col("left_words"), F.col("right_words")) <= radius).select("left", "right")
+    bands = pigeonhole(max(1, n_left), max(1, n_right), radius=radius)
+    a = prints.where(F.col("sides").bitwiseAND(F.lit(1)) != 0).select(F.col("hi").alias("left_hi"), F.col("lo").alias("left_lo"), _keys(bands, False).alias("key"))
+    b = prints.where(F.col("sides").bitwiseAND(F.lit(2)) != 0).select(F.col("hi").alias("right_hi"), F.col("lo").alias("right_lo"), _keys(bands, True).alias("key"))
+    far = F.bit_count(F.col("left_hi").bitwiseXOR(F.col("right_hi"))) + F.bit_count(F.col("left_lo").bitwiseXOR(F.col("right_lo")))
+    return a.join(b, (a["key"] == b["key"]) & (far <= radius)).select("left_hi", "left_lo", "right_hi", "right_lo").distinct()

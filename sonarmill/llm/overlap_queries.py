@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarmill.functions import keys
@@ -11,54 +11,63 @@ from sonarmill.plans import oracle_keys as sql
 from sonarmill.session import cut_lineage, read_table
 
 
-def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return df.where("train"), df.where("NOT train")
+TRAIN, HELD_OUT = 1, 2
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b"))
+def _sided(split: str) -> Column:
+    """1 for train, 2 for validation and test, null for no split."""
+    name = keys.split_name(split)
+    return F.when(name == "train", TRAIN).when(name.isNotNull(), HELD_OUT)
+
+
+def _both(touched: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of rows of the two sides that agree in ``by``; touched: ``row_seq, side`` and those columns."""
+    a = touched.where(F.col("side") == TRAIN).select(F.col("row_seq").alias("a"), *by)
+    b = touched.where(F.col("side") == HELD_OUT).select(F.col("row_seq").alias("b"), *by)
+    return a.join(b, by).select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b"))
+
 
+def equal_contents(rows: DataFrame) -> DataFrame:
+    """Pairs of rows ``row_seq, side, sha`` of two sides with the same content.
 
-def _expanded(classes: DataFrame, members: DataFrame, column: str) -> DataFrame:
-    """Pairs of classes ``(left, right)`` as pairs of rows; members: ``row_seq, train`` and the class column."""
-    train, held_out = _sides(members)
-    left = train.select(F.col("row_seq").alias("a"), F.col(column).alias("left"))
-    right = held_out.select(F.col("row_seq").alias("b"), F.col(column).alias("right"))
-    return classes.join(left, "left").join(right, "right").select("a", "b")
+    The distinct hashes, named by their first row, are cut into chunks; chunk digests are joined across the sides and
+    records that share their whole length are the same.
+    """
+    rows = rows.where("sha IS NOT NULL")
+    classes = rows.groupBy("sha").agg(F.min("row_seq").alias("record"), F.bit_or("side").alias("sides"))
+    train, held_out = (overlap.chunks(classes.where(F.col("sides").bitwiseAND(F.lit(side)) != 0).withColumnRenamed("sha", "text")) for side in (TRAIN, HELD_OUT))
+    whole = overlap.shared(train, held_out).where("fraction = 1 AND left = right").select(F.col("left").alias("record"))
+    matched = classes.join(whole, "record").select("sha")
+    return _both(cut_lineage(rows.join(matched, "sha").select("row_seq", "side", "sha")), ["sha"])
+
+
+def near_contents(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Pairs of rows ``row_seq, side, hi, lo`` of two sides whose prints are near."""
+    rows = rows.where("hi IS NOT NULL")
+    prints = rows.groupBy("hi", "lo").agg(F.bit_or("side").alias("sides"))
+    near = cut_lineage(overlap.near_prints(prints, n_rows, n_rows))
+    a = rows.where(F.col("side") == TRAIN).select(F.col("row_seq").alias("a"), F.col("hi").alias("left_hi"), F.col("lo").alias("left_lo"))
+    b = rows.where(F.col("side") == HELD_OUT).select(F.col("row_seq").alias("b"), F.col("hi").alias("right_hi"), F.col("lo").alias("right_lo"))
+    pairs = a.join(near, ["left_hi", "left_lo"]).join(b, ["right_hi", "right_lo"])
+    return pairs.select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b"))
 
 
 def recording_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of recordings ``(row_a, row_b)`` across splits; rows: ``row_seq, split, sha, print`` as stored."""
-    known = cut_lineage(rows.select("row_seq", (keys.split_name("split") == "train").alias("train"), keys.sha_key("sha").alias("sha"), overlap.print_words("print").alias("words")).where("train IS NOT NULL"))
-    # equal contents: chunk digests of the distinct hashes, joined across the splits
-    by_sha = known.where("sha IS NOT NULL").select("sha", "train").distinct()
-    train, held_out = (overlap.chunks(side, "sha") for side in _sides(by_sha))
-    whole = overlap.shared(train, held_out).where("fraction = 1 AND left = right").select("left", "right")
-    same = _expanded(whole, known.select("row_seq", "train", "sha"), "sha")
-    # near contents: distinct prints, named by their smallest row
-    members = known.where("words IS NOT NULL").select("row_seq", "train", "words")
-    prints = members.groupBy("words", "train").agg(F.min("row_seq").alias("id"))
-    sizes = members.agg(F.count_if("train"), F.count_if(~F.col("train"))).first()
-    prints = cut_lineage(prints)
-    left, right = _sides(prints)
-    near = overlap.near_prints(left, right, (sizes[0], sizes[1]))
-    named = prints.select("words", "train", F.col("id").alias("print"))
-    alike = _expanded(near, members.join(named, ["words", "train"]).select("row_seq", "train", "print"), "print")
-    return _ordered(same.unionByName(alike)).distinct()
+    hi, lo = overlap.print_halves("print")
+    sided = rows.select("row_seq", _sided("split").alias("side"), keys.sha_key("sha").alias("sha"), hi.alias("hi"), lo.alias("lo")).where("side IS NOT NULL")
+    same = equal_contents(sided.select("row_seq", "side", "sha"))
+    return same.unionByName(near_contents(sided.select("row_seq", "side", "hi", "lo"), rows.count())).distinct()
 
 
 def segment_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of segments ``(row_a, row_b)`` across splits that share samples; rows: ``row_seq, split, segment`` as stored."""
-    key = keys.segment_key("segment")
-    known = rows.select("row_seq", (keys.split_name("split") == "train").alias("train"), keys.segment_sha(key).alias("recording"), keys.segment_index(key).alias("index")).where("train IS NOT NULL AND recording IS NOT NULL AND index IS NOT NULL")
-    classes = known.select("recording", "index", "train").distinct()
-    a, b = (overlap.cell_chunks(side, "recording", "index") for side in _sides(classes))
-    joined = a.withColumnRenamed("index", "left").join(b.select("recording", F.col("index").alias("right"), "cell"), ["recording", "cell"])
-    pairs = joined.groupBy("recording", "left", "right").agg((F.sum("length") / F.max("size")).alias("fraction")).where("fraction > 0")
-    train, held_out = _sides(known)
-    out = pairs.join(train.select(F.col("row_seq").alias("a"), "recording", F.col("index").alias("left")), ["recording", "left"])
-    out = out.join(held_out.select(F.col("row_seq").alias("b"), "recording", F.col("index").alias("right")), ["recording", "right"])
-    return _ordered(out)
+    known = rows.select("row_seq", _sided("split").alias("side"), keys.segment_sha("segment").alias("recording"), keys.segment_index("segment").alias("index")).where("side IS NOT NULL")
+    pairs = overlap.shared_cells(known.select("recording", "index", (F.col("side") - 1).alias("side"))).where("fraction > 0")
+    pairs = cut_lineage(pairs.select("recording", "left", "right", F.xxhash64("recording", "left", "right").alias("pair")))
+    ends = pairs.select("recording", "pair", F.inline(F.array(F.struct(F.lit(TRAIN).alias("side"), F.col("left").alias("index")), F.struct(F.lit(HELD_OUT).alias("side"), F.col("right").alias("index")))))
+    touched = known.join(ends, ["recording", "index", "side"]).select("row_seq", "side", "recording", "pair")
+    return _both(cut_lineage(touched), ["recording", "pair"])
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
