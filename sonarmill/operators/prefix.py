@@ -8,19 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ordered_totals(df: DataFrame, by: Sequence[str], stretch: Column, order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums ``name`` over each group, up to and with the row.
+
+    ``stretch`` must never fall along ``order``. A group is cut into its stretches: their sums are accumulated first,
+    and rows are sorted within a stretch only, so that no task sorts a whole group.
+    """
+    cut = df.withColumn("__stretch", stretch)
+    parts = cut.groupBy(*by, "__stretch").agg(*[F.sum(v).alias(f"__{k}") for k, v in values.items()])
+    w = Window.partitionBy(*by).orderBy("__stretch") if by else Window.orderBy("__stretch")
+    starts = parts.select(*by, "__stretch", *[(F.sum(f"__{k}").over(w) - F.col(f"__{k}")).alias(f"__start_{k}") for k in values])
+    within = Window.partitionBy(*by, "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = cut.join(starts, [*by, "__stretch"])
+    return joined.withColumns({k: F.col(f"__start_{k}") + F.sum(v).over(within) for k, v in values.items()}).drop("__stretch", *[f"__start_{k}" for k in values])
+
+
 def running_total(df: DataFrame, by: Sequence[str], order: str, value: str, tie: str, ranges: int = 4096) -> DataFrame:
     """``df`` with ``before``: the sum of ``value`` over the rows of the group that come earlier in ``(order, tie)``.
 
-    ``order`` must be a bigint spread over its range, such as a hash. A group is cut into ``ranges`` stretches of it:
-    their sums, at most ``ranges`` a group, are accumulated, and rows are sorted within a stretch only.
+    ``order`` must be a bigint spread over its range, such as a hash; it is cut into ``ranges`` stretches.
     """
     bits = max(0, 64 - (ranges - 1).bit_length())
-    cut = df.withColumn("__range", F.shiftright(F.col(order), bits))
-    sums = cut.groupBy(*by, "__range").agg(F.sum(value).alias("__n"))
-    w = Window.partitionBy(*by).orderBy("__range")
-    starts = sums.select(*by, "__range", (F.sum("__n").over(w) - F.col("__n")).alias("__start"))
-    within = Window.partitionBy(*by, "__range").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cut.join(starts, [*by, "__range"]).withColumn("before", F.col("__start") + F.sum(value).over(within) - F.col(value)).drop("__range", "__start")
+    out = ordered_totals(df, by, F.shiftright(F.col(order), bits), [F.col(order), F.col(tie)], {"before": F.col(value)})
+    return out.withColumn("before", F.col("before") - F.col(value))
 
 
 def share_of(part: Column, whole: Column) -> Column:
