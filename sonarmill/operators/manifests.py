@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarmill.functions.keys import filled
+from sonarmill.operators.prefix import ordered_totals
 
 SPLITS = ("train", "validation", "test")
 RATIOS = (0.70, 0.15, 0.15)
@@ -148,10 +149,14 @@ def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
 # shards
 
 
-def shard_numbers(df: DataFrame, by: Sequence[str], order: Sequence[Column], size: int = 256) -> DataFrame:
-    """``shard_no, slot``: rows of each part packed in order, ``size`` to a shard."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return df.withColumn("place", place).withColumns({"shard_no": F.floor(F.col("place") / size).cast("int"), "slot": (F.col("place") % size).cast("int")}).drop("place")
+def shard_numbers(df: DataFrame, by: Sequence[str], order: str, size: int = 256, stretch_bits: int = 16) -> DataFrame:
+    """``shard_no, slot``: rows of each part packed in the order of a bigint column, ``size`` to a shard.
+
+    Stretches of ``2**stretch_bits`` order values are counted first and numbered within, so no task sorts a whole part.
+    """
+    placed = ordered_totals(df, by, F.shiftright(F.col(order).cast("bigint"), stretch_bits), [F.col(order)], {"place": F.lit(1).cast("bigint")})
+    place = F.col("place") - 1
+    return placed.withColumns({"shard_no": F.floor(place / size).cast("int"), "slot": (place % size).cast("int")}).drop("place")
 
 
 def not_yet_built(wanted: DataFrame, built: DataFrame, key: str) -> DataFrame:
