@@ -79,8 +79,8 @@ def health(features: Column) -> Column:
     largest = F.array_max(F.transform(flat, lambda x: F.abs(x)))
 
     def deviation(c: Column) -> Column:
-        mean = F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
-        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(c))
+        sums = F.aggregate(c, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("m"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + (x - a["m"]) * (x - a["m"] - (x - a["m"]) / (a["n"] + 1))).alias("s"), (a["m"] + (x - a["m"]) / (a["n"] + 1)).alias("m"), (a["n"] + 1).alias("n")))
+        return F.sqrt(sums["s"] / sums["n"])
 
     least = F.array_min(F.transform(features, deviation))
     digest = F.left(F.sha1(F.array_join(F.transform(flat, lambda x: F.format_number(x, 2)), "|")), F.lit(16))
