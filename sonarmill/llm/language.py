@@ -88,12 +88,15 @@ class Profiles:
         self._rows: dict[str, int] = {}
         self._costs = np.zeros((1024, len(self.languages)))
 
+    def forget(self, most: int = 500_000) -> None:
+        """Drops the costs of words if there are many; rows given before are then void."""
+        if len(self._rows) > most:
+            self._rows.clear()
+
     def cost(self, word: str) -> int:
         """The row of a word's costs; digits cost nothing, so numbers go with what stands around them."""
         row = self._rows.get(word)
         if row is None:
-            if len(self._rows) > 500_000:
-                self._rows.clear()
             row = len(self._rows)
             if row >= len(self._costs):
                 self._costs = np.concatenate([self._costs, np.zeros_like(self._costs)])
@@ -161,6 +164,9 @@ def _pieces(found: list[tuple[str, bool]]) -> list[tuple[int, int]]:
 
 def stretches(profiles: Profiles, texts: list[str | None]) -> list[list[tuple[int, int, str, float, Counter]]]:
     """For each text its stretches ``(first word, end, language, confidence, n-gram counts)``."""
+    if not profiles.languages:
+        return [[] for _ in texts]
+    profiles.forget()
     found = [tokens(t) for t in texts]
     cuts = [_pieces(f) for f in found]
     parts = [(np.array([profiles.cost(w) for w, _ in f[a:b]], np.int64), np.array([e for _, e in f[a:b]], bool)) for f, c in zip(found, cuts, strict=True) for a, b in c]
