@@ -121,9 +121,13 @@ def random_time_mask(channels: Column, probability: float = 0.10, most: int = 8,
     """With the given probability masks 1 to ``most`` frames, at most an eighth of the time, at a drawn place."""
     n = F.size(F.get(channels, F.lit(0)))
     longest = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(n / 8)))
-    length = (F.lit(1) + F.floor(F.rand(seed) * longest)).cast("int")
-    start = F.floor(F.rand(seed + 1) * F.greatest(F.lit(1), n - length + 1)).cast("int")
-    return F.when(F.rand(seed + 2) < probability, time_masked(channels, start, length)).otherwise(channels)
+    drawn = F.struct((F.lit(1) + F.floor(F.rand(seed) * longest)).cast("int").alias("length"), F.rand(seed + 1).alias("place"), (F.rand(seed + 2) < probability).alias("masked"))
+
+    def masked(g: Column) -> Column:
+        start = F.floor(g["place"] * F.greatest(F.lit(1), n - g["length"] + 1)).cast("int")
+        return F.when(g["masked"], time_masked(channels, start, g["length"])).otherwise(channels)
+
+    return _given(drawn, masked)
 
 
 def shape_text(channels: Column) -> Column:
