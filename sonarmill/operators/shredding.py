@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarmill.functions.keys import strip
+from sonarmill.session import spread
 
 NODES = "id bigint, node int, parent int, label string, ordinal int, kind string, scalar string"
 
@@ -91,7 +92,7 @@ def shred(df: DataFrame, key: str, text: str, batch: int = 20_000) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     records = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL AND t <> ''")
-    return records.mapInPandas(read, NODES)
+    return spread(records).mapInPandas(read, NODES)
 
 
 def name_key(label: Column) -> Column:

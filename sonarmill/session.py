@@ -51,3 +51,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for costly work on each row.
+
+    A large input has more partitions than that already and isn't shuffled; a small one may be a single file.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -21,7 +21,10 @@ MAX_BYTES = 512 << 20
 
 
 def audio_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = parsing.AUDIO_SUFFIXES, content: bool = False) -> DataFrame:
-    """Audio files below a folder: ``path, length`` and, if asked for, ``content``. Only what is asked for is read."""
+    """Audio files below a folder: ``path, length`` and, if asked for, ``content``. Only what is asked for is read.
+
+    Files without a single byte are not listed: Spark gives no task anything to read for them.
+    """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     rows = listed.where(parsing.suffix(F.col("path")).isin(*suffixes))
     return rows.select("path", F.col("length"), *(["content"] if content else []))
