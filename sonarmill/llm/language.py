@@ -9,8 +9,8 @@ and texts mixed, so they are trained twice: the first profiles mark the stretche
 made from the stretches that agree with their label.
 
 Stretches are found word by word: a word's cost in a language is the mean place of its n-grams there, on a log scale;
-the cheapest sequence of languages (Viterbi) pays for every change, less after a sentence's end. A stretch's language is
-then the one whose profile is least out of place from it, compared among those that hold a word of it.
+the cheapest sequence of languages (Viterbi) pays for every change, less after a sentence's end. That places the cuts;
+a stretch's language is the one whose profile is least out of place from it, and neighbours of one language are joined.
 
 Defined results: null texts and texts without letters have no language and confidence 0; a label that names no known
 language is missing. Texts of more than ``PIECE`` words are decoded in pieces of that size, cut at sentences where they
@@ -22,14 +22,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarmill.functions.keys import strip
 from sonarmill.llm.words import words_and_gaps
+from sonarmill.session import cut_lineage, spread
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt", "ru")
 #: Names of each language: ISO 639-1, ISO 639-2, English.
@@ -76,45 +78,68 @@ def tokens(text: str | None) -> list[tuple[str, bool]]:
 
 
 class Profiles:
-    """Rank-order profiles of several languages, with the costs of words as far as they are known."""
+    """Rank-order profiles of several languages, with the costs and n-grams of words as far as they are known."""
 
     def __init__(self, ranked: dict[str, list[str]]):
         self.languages = [x for x in sorted(ranked) if ranked[x]]
-        self.places: dict[str, np.ndarray] = {}
+        self.rows: dict[str, int] = {}
+        for language in self.languages:
+            for gram in ranked[language][:PROFILE]:
+                self.rows.setdefault(gram, len(self.rows))
+        # the last row is that of n-grams that no profile has
+        self.places = np.full((len(self.rows) + 1, len(self.languages)), PROFILE, np.float64)
         for i, language in enumerate(self.languages):
             for place, gram in enumerate(ranked[language][:PROFILE]):
-                self.places.setdefault(gram, np.full(len(self.languages), PROFILE, np.float64))[i] = place
-        self.missing = np.full(len(self.languages), PROFILE, np.float64)
-        self._rows: dict[str, int] = {}
+                self.places[self.rows[gram], i] = place
+        self._words: dict[str, int] = {}
+        self._grams: dict[str, tuple[str, ...]] = {}
         self._costs = np.zeros((1024, len(self.languages)))
 
+    def ranked(self) -> dict[str, list[str]]:
+        grams = list(self.rows)
+        return {x: [grams[g] for g in np.argsort(self.places[:-1, i], kind="stable") if self.places[g, i] < PROFILE] for i, x in enumerate(self.languages)}
+
     def forget(self, most: int = 500_000) -> None:
-        """Drops the costs of words if there are many; rows given before are then void."""
-        if len(self._rows) > most:
-            self._rows.clear()
+        """Drops what is known of words if that is much; rows of costs given before are then void."""
+        if len(self._words) > most or len(self._grams) > most:
+            self._words.clear()
+            self._grams.clear()
+
+    def grams(self, word: str) -> tuple[str, ...]:
+        """A word's n-grams; none of words with digits, which belong to no language."""
+        out = self._grams.get(word)
+        if out is None:
+            self._grams[word] = out = tuple(grams(word)) if word.isalpha() else ()
+        return out
+
+    def lookup(self, found) -> np.ndarray:
+        last, rows = len(self.rows), self.rows
+        return self.places[[rows.get(g, last) for g in found]]
 
     def cost(self, word: str) -> int:
         """The row of a word's costs; digits cost nothing, so numbers go with what stands around them."""
-        row = self._rows.get(word)
+        row = self._words.get(word)
         if row is None:
-            row = len(self._rows)
+            row = len(self._words)
             if row >= len(self._costs):
                 self._costs = np.concatenate([self._costs, np.zeros_like(self._costs)])
             if any(c.isdigit() for c in word):
                 self._costs[row] = 0
             else:
-                places = np.array([self.places.get(g, self.missing) for g in grams(word)])
-                costs = np.log1p(places).mean(0)
+                costs = np.log1p(self.lookup(grams(word))).mean(0)
                 self._costs[row] = costs - costs.min()
-            self._rows[word] = row
+            self._words[word] = row
         return row
 
+    def counts(self, words) -> Counter:
+        return Counter(chain.from_iterable(map(self.grams, words)))
+
     def distances(self, counts: Counter, most: int = TEXT_PROFILE) -> np.ndarray:
-        """Out-of-place distance of a text's most frequent n-grams to each profile, from 0 to 1."""
-        top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
+        """Out-of-place distance of a text's most frequent n-grams to each profile, from 0 to 1; equally frequent ones in order of appearance."""
+        top = counts.most_common(most)
         if not top:
             return np.ones(len(self.languages))
-        places = np.array([self.places.get(g, self.missing) for g, _ in top])
+        places = self.lookup(g for g, _ in top)
         apart = np.abs(places - np.arange(len(top))[:, None])
         apart[places >= PROFILE] = PROFILE
         return apart.mean(0) / PROFILE
@@ -153,6 +178,12 @@ class Profiles:
         return out
 
 
+def _confidence(apart: np.ndarray, held: int) -> float:
+    """How much nearer one profile is than the nearest other: 0.5 for a tie, up to 1."""
+    rest = np.delete(apart, held)
+    return round(float(np.clip(0.5 + (rest.min() - apart[held]) / max(1e-9, rest.min() + apart[held]), 0, 1)), 6) if len(rest) else 1.0
+
+
 def _pieces(found: list[tuple[str, bool]]) -> list[tuple[int, int]]:
     out, start = [], 0
     while len(found) - start > PIECE:
@@ -177,13 +208,15 @@ def stretches(profiles: Profiles, texts: list[str | None]) -> list[list[tuple[in
         own: list[tuple[int, int, str, float, Counter]] = []
         edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)] if len(path) else []
         for a, b in zip(edges, edges[1:], strict=False):
-            counts = Counter(g for w, _ in f[a:b] for g in grams(w) if w.isalpha())
+            counts = profiles.counts(w for w, _ in f[a:b])
             if not counts:
                 continue
             apart = profiles.distances(counts)
-            held = int(path[a])
-            rest = np.delete(apart, held)
-            own.append((a, b, profiles.languages[held], round(float(np.clip(0.5 + (rest.min() - apart[held]) / max(1e-9, rest.min() + apart[held]), 0, 1)), 6) if len(rest) else 1.0, counts))
+            if own and own[-1][1] == a and own[-1][2] == profiles.languages[int(apart.argmin())]:  # one stretch after all
+                a, counts = own[-1][0], own[-1][4] + counts
+                apart = profiles.distances(counts)
+                own.pop()
+            own.append((a, b, profiles.languages[int(apart.argmin())], _confidence(apart, int(apart.argmin())), counts))
         out.append(own)
     return out
 
@@ -196,8 +229,6 @@ def ranked_profiles(rows: DataFrame) -> dict[str, list[str]]:
     counted = rows.groupBy("language", "gram").agg(F.sum("n").alias("n"))
     order = F.struct((-F.col("n")).alias("m"), F.col("gram").alias("gram"))
     # the largest of each of 64 parts first, so that no task sorts a language's n-grams alone
-    from pyspark.sql import Window
-
     part = F.pmod(F.xxhash64("gram"), F.lit(64))
     near = counted.withColumn("r", F.row_number().over(Window.partitionBy("language", part).orderBy(order))).where(F.col("r") <= PROFILE)
     top = near.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy(order))).where(F.col("r") <= PROFILE)
@@ -213,25 +244,20 @@ def _counted(language: str, counts: Counter) -> list[tuple[str, str, int]]:
 
 def train(documents: DataFrame, text: str, label: str, sample: int = SAMPLE_DOCS) -> Profiles:
     """Profiles from at most ``sample`` labelled documents of each language, trained twice (see above)."""
-    from pyspark.sql import Window
-
     labelled = documents.select(F.col(text).alias("text"), label_language(label).alias("language")).where("language IS NOT NULL AND text IS NOT NULL AND text <> ''")
     drawn = labelled.withColumn("order", F.xxhash64("text"))
     part = F.pmod("order", F.lit(64))
     near = drawn.withColumn("r", F.row_number().over(Window.partitionBy("language", part).orderBy("order", "text"))).where(F.col("r") <= sample)
     chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy("order", "text"))).where(F.col("r") <= sample).select("text", "language")
-    from sonarmill.session import cut_lineage
-
-    chosen = cut_lineage(chosen.repartition(F.col("language"), F.pmod(F.xxhash64("text"), F.lit(8))))
+    chosen = cut_lineage(chosen.repartition(4 * len(LANGUAGES), "language", F.xxhash64("text")))
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Profiles({})
         for frame in frames:
             by: dict[str, Counter] = {}
             for t, language in zip(frame["text"], frame["language"], strict=True):
-                counts = by.setdefault(language, Counter())
-                for w, n in Counter(w for w, _ in tokens(t) if w.isalpha()).items():
-                    for g in grams(w):
-                        counts[g] += n
+                known.forget()
+                by.setdefault(language, Counter()).update(known.counts(w for w, _ in tokens(t)))
             yield pd.DataFrame([x for k, c in by.items() for x in _counted(k, c)], columns=["language", "gram", "n"])
 
     schema = "language string, gram string, n bigint"
@@ -259,10 +285,7 @@ def identify(documents: DataFrame, profiles: Profiles, key: str = "doc_id", text
     A document without a stretch gives one row with nulls. The document's confidence compares its own most frequent
     n-grams with all profiles.
     """
-    ranked = {x: [] for x in LANGUAGES}
-    for i, language in enumerate(profiles.languages):
-        ranked[language] = [g for _, g in sorted((p[i], g) for g, p in profiles.places.items() if p[i] < PROFILE)]
-    shared = documents.sparkSession.sparkContext.broadcast(ranked)
+    shared = documents.sparkSession.sparkContext.broadcast(profiles.ranked())
     columns = [x.split()[0] for x in SEGMENTS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,13 +304,10 @@ def identify(documents: DataFrame, profiles: Profiles, key: str = "doc_id", text
                         share[held] += b - a
                         whole.update(counts)
                     main = max(share, key=lambda x: (share[x], x))
-                    apart = profiles.distances(whole)
-                    i = profiles.languages.index(main)
-                    rest = np.delete(apart, i)
-                    sure = float(np.clip(0.5 + (rest.min() - apart[i]) / max(1e-9, rest.min() + apart[i]), 0, 1)) if len(rest) else 1.0
+                    sure = _confidence(profiles.distances(whole), profiles.languages.index(main))
                     rows += [(k, known, a, b, held, c, main, round(sure * share[main] / sum(share.values()), 6)) for a, b, held, c, _ in own]
                 out = pd.DataFrame(rows, columns=columns)
                 yield out.astype({"first_word": "Int32", "end_word": "Int32"})
 
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), label_language(label).alias("label"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, SEGMENTS)
+    return spread(rows).mapInPandas(run, SEGMENTS)

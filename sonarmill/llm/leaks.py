@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonarmill.llm.words import words
+from sonarmill.session import spread
 
 WINDOW = 12
 SAMPLE = 8
@@ -223,7 +224,7 @@ def found_passages(documents: DataFrame, items: DataFrame, edits: int = 0, windo
                 out += [(ids[d], passages.items[i], at, start, far) for d, i, at, start, far in _verified(docs, of, starts, passages, hashes)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_start", "item_start", "edits"])
 
-    return documents.mapInPandas(run, FOUND)
+    return spread(documents).mapInPandas(run, FOUND)
 
 
 def _window_rows(df: DataFrame, key: str, window: int, tables: int, sample: int | None) -> DataFrame:
@@ -241,7 +242,7 @@ def _window_rows(df: DataFrame, key: str, window: int, tables: int, sample: int
                 for table in range(tables):
                     yield pd.DataFrame({"key": window_keys(flat, starts, window, table, sample).view(np.int64), "owner": np.array(ids)[of], "start": within.astype(np.int32), "passage": text})
 
-    return df.mapInPandas(run, "key bigint, owner bigint, start int, passage string")
+    return spread(df).mapInPandas(run, "key bigint, owner bigint, start int, passage string")
 
 
 def _joined_passages(documents: DataFrame, items: DataFrame, edits: int, window: int, tables: int, sample: int | None) -> DataFrame:

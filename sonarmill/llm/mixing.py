@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sonarmill.functions.keys import source_key
 from sonarmill.operators.prefix import running_total
-from sonarmill.session import cut_lineage
+from sonarmill.session import cut_lineage, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -55,7 +55,7 @@ def token_counts(df: DataFrame, text: str, tokenizer: str = TOKENIZER, alias: st
 def sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``(doc_id, source, n_tokens)`` of the documents that have both; written once, as counting is the dear part."""
     rows = documents.select("doc_id", source_key("source").alias("source"), "text").where("doc_id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return cut_lineage(token_counts(rows, "text", tokenizer).select("doc_id", "source", "n_tokens").where("n_tokens > 0"))
+    return cut_lineage(token_counts(spread(rows), "text", tokenizer).select("doc_id", "source", "n_tokens").where("n_tokens > 0"))
 
 
 def supply(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
