@@ -2,7 +2,7 @@
 
 The operator works on an inventory, one row per file, that is hundreds of times smaller than the records:
 
-1. ``slots`` and ``inventory``: what each file holds, with what is too small, lost or taken twice;
+1. ``slots`` and ``audit``: what each file holds, with what is too small, lost or taken twice;
 2. ``plan``: level by level, files of one size tier (a power of two) are packed into transactions of at most ``target``
    records; a file that is over half full stays as it is; what a level could not fill joins the next tier;
 3. ``journal``: one row per transaction, its id a digest of level and inputs, so that the same plan gives the same ids;
@@ -38,28 +38,33 @@ def slots(rows: DataFrame) -> DataFrame:
     return held.groupBy("file", "slot").agg(F.count("*").alias("n_rows"), F.min("record").alias("first"), F.max("record").alias("last")).select("file", "slot", "n_rows", (F.col("first") < F.col("last")).alias("twice"))
 
 
-def inventory(held: DataFrame) -> DataFrame:
-    """One row per file: distinct slots, largest slot, rows."""
-    return held.groupBy("file").agg(F.count("*").alias("n_slots"), F.max("slot").alias("last_slot"), F.min("slot").alias("first_slot"), F.sum("n_rows").alias("n_rows"))
-
-
 def tier(size: Column) -> Column:
     """Size tier: the power of two at or below the size."""
     return F.floor(F.log2(size.cast("double"))).cast("int")
 
 
-def small_files(files: DataFrame, least: int = SMALL) -> DataFrame:
-    """Files below the tier of ``least`` records, a power of two."""
+def audit(held: DataFrame, least: int = SMALL) -> DataFrame:
+    """``(kind, file, slot)`` of everything wrong with the files, in one pass over the held slots.
+
+    ``small_shard`` (slot null) for files below the tier of ``least`` records, ``lost_index`` for every slot below a
+    file's largest that no row has, ``taken_twice`` for slots that different records claim. The slots of a file are
+    sorted in one task, which spills if a file is large.
+    """
     if least & (least - 1):
         raise ValueError("the least size must be a power of two, where a tier begins")
-    return files.where(tier(F.col("n_slots")) < int(math.log2(least)))
-
-
-def lost_slots(held: DataFrame) -> DataFrame:
-    """Every slot from 0 to a file's largest that no row has. Only gaps are expanded, found between neighbouring slots."""
     w = Window.partitionBy("file").orderBy("slot")
-    gaps = held.where("slot >= 0").select("file", "slot", F.coalesce(F.lag("slot").over(w), F.lit(-1)).alias("before")).where("slot > before + 1")
-    return gaps.select("file", F.explode(F.sequence(F.col("before") + 1, F.col("slot") - 1)).alias("slot"))
+    rows = held.select("file", "slot", "twice", F.lag("slot").over(w).alias("before"), F.lead("slot").over(w).alias("after"), F.row_number().over(w).alias("n"))
+    empty = F.array().cast("array<int>")
+    start = F.greatest(F.coalesce("before", F.lit(-1)), F.lit(-1)) + 1
+    lost = F.when(F.col("slot") > start, F.sequence(start, F.col("slot") - 1)).otherwise(empty)
+    small = F.col("after").isNull() & (tier(F.col("n")) < int(math.log2(least)))
+    kinds = F.concat(
+        F.transform(lost, lambda i: F.struct(F.lit("lost_index").alias("kind"), i.alias("at"))),
+        F.when(small, F.array(F.struct(F.lit("small_shard").alias("kind"), F.lit(None).cast("int").alias("at")))).otherwise(F.array().cast("array<struct<kind:string,at:int>>")),
+        F.when(F.col("twice"), F.array(F.struct(F.lit("taken_twice").alias("kind"), F.col("slot").alias("at")))).otherwise(F.array().cast("array<struct<kind:string,at:int>>")),
+    )
+    wrong = rows.where((F.col("slot") > start) | small | F.coalesce("twice", F.lit(False)))
+    return wrong.select("file", F.inline(kinds)).select("kind", "file", F.col("at").alias("slot"))
 
 
 def repeated_files(df: DataFrame, file: Column) -> DataFrame:

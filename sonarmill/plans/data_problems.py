@@ -114,16 +114,10 @@ def _shard_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    held = compaction.slots(_shard_records(spark, d))
-    files = compaction.inventory(held)
-    item = F.concat(F.col("file"), F.lit("#"), F.col("slot").cast("string"))
+    wrong = compaction.audit(compaction.slots(_shard_records(spark, d)))
+    item = F.concat_ws("#", "file", F.col("slot").cast("string"))
     repeated = compaction.repeated_files(read_table(spark, d, "train_feature_manifest"), keys.path_key("mfcc_path"))
-    return (
-        compaction.small_files(files).select(F.lit("small_shard").alias("kind"), F.col("file").alias("item"))
-        .unionByName(compaction.lost_slots(held).select(F.lit("lost_index").alias("kind"), item.alias("item")))
-        .unionByName(held.where("twice").select(F.lit("taken_twice").alias("kind"), item.alias("item")))
-        .unionByName(repeated.select(F.lit("repeated_file").alias("kind"), F.col("file").alias("item")))
-    )
+    return wrong.select("kind", item.alias("item")).unionByName(repeated.select(F.lit("repeated_file").alias("kind"), F.col("file").alias("item")))
 
 
 def _shard_plan(rows: DataFrame) -> DataFrame:

@@ -135,12 +135,13 @@ def _shards(spark, data):
 def test_shard_audit(spark):
     got = _shards(spark, [("a", 0, "x"), ("a", 0, "x"), ("a", 3, "y"), ("a", 3, "z"), ("b", 2, None), ("b", 2, "q"), (None, 1, "n"), ("c", None, "n"), ("d", -1, "m")])
     held = compaction.slots(got)
-    assert rows(compaction.lost_slots(held)) == [("a", 1), ("a", 2), ("b", 0), ("b", 1)]
-    assert rows(held.where("twice").select("file", "slot")) == [("a", 3)]
-    assert rows(compaction.small_files(compaction.inventory(held), 2).select("file")) == [("b",), ("d",)]
-    assert compaction.unplaced(got).first()[0] == 2
+    wrong = compaction.audit(held, 2)
+    assert rows(wrong.where("kind = 'lost_index'").select("file", "slot")) == [("a", 1), ("a", 2), ("b", 0), ("b", 1)]
+    assert rows(wrong.where("kind = 'taken_twice'").select("file", "slot")) == [("a", 3)]
+    assert rows(wrong.where("kind = 'small_shard'").select("file")) == [("b",), ("d",)]
+    assert compaction.unplaced(got).first()[0] == 2 and compaction.audit(held.where("false")).count() == 0
     with pytest.raises(ValueError):
-        compaction.small_files(compaction.inventory(held), 3)
+        compaction.audit(held, 3)
 
 
 def test_plan_fills_files_and_keeps_every_record(spark):
