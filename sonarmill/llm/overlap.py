@@ -19,7 +19,6 @@ chunk; a print that isn't 32 hex digits is not given. Repeated rows are members
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,12 +46,18 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def cut(text: str, window: int = WINDOW, average: int = AVERAGE, least: int = LEAST, most: int = MOST) -> list[tuple[int, int, int]]:
-    """``(start, end, digest)`` of the chunks of one text. Prefix sums of a polynomial hash give every window and chunk."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def cut_all(texts: list[str], window: int = WINDOW, average: int = AVERAGE, least: int = LEAST, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``text's number, start, end, digest`` of the chunks of several texts.
+
+    The texts are laid one behind the other; prefix sums of one polynomial hash then give every window and every chunk,
+    and only the places where the rolling hash hits are walked through one by one.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(sizes) - sizes
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(codes)
     if not n:
-        return []
+        return (np.empty(0, np.int64),) * 4
     with np.errstate(over="ignore"):
         up, down = _powers(_BASE, n + 1), _powers(pow(_BASE, -1, 1 << 64), n + 1)
         sums = np.zeros(n + 1, np.uint64)
@@ -61,23 +66,36 @@ def cut(text: str, window: int = WINDOW, average: int = AVERAGE, least: int = LE
         if n >= window:
             rolled = _mix((sums[window:] - sums[: n - window + 1]) * down[: n - window + 1])
             hits = np.flatnonzero(rolled % np.uint64(average) == 0) + window
-        ends, start = [], 0
-        for hit in hits.tolist():
-            while hit - start > most:
+        owner = np.searchsorted(first, hits - 1, "right") - 1
+        inside = hits - window >= first[owner]  # the window lies in one text
+        hits, owner = hits[inside], owner[inside]
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+        found, whose, stops = hits.tolist(), [], []
+        for text, (begin, size) in enumerate(zip(first.tolist(), sizes.tolist(), strict=True)):
+            start, end, ends = begin, begin + size, []
+            for hit in found[bounds[text] : bounds[text + 1]]:
+                while hit - start > most:
+                    start += most
+                    ends.append(start)
+                if hit - start >= least:
+                    ends.append(hit)
+                    start = hit
+            while end - start > most:
                 start += most
                 ends.append(start)
-            if hit - start >= least:
-                ends.append(hit)
-                start = hit
-        while n - start > most:
-            start += most
-            ends.append(start)
-        if start < n:
-            ends.append(n)
-        stops = np.array(ends)
-        starts = np.concatenate([[0], stops[:-1]])
-        digests = _mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
-    return list(zip(starts.tolist(), stops.tolist(), digests.view(np.int64).tolist(), strict=True))
+            if start < end:
+                ends.append(end)
+            stops += ends
+            whose += [text] * len(ends)
+        of, ends = np.array(whose, np.int64), np.array(stops, np.int64)
+        starts = np.where(np.diff(of, prepend=-1) != 0, first[of], np.concatenate([[0], ends[:-1]]))
+        digests = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return of, starts - first[of], ends - first[of], digests.view(np.int64)
+
+
+def cut(text: str, *rule: int) -> list[tuple[int, int, int]]:
+    """``(start, end, digest)`` of the chunks of one text."""
+    return list(zip(*(x.tolist() for x in cut_all([text], *rule)[1:]), strict=True))
 
 
 def chunks(df: DataFrame) -> DataFrame:
@@ -88,13 +106,17 @@ def chunks(df: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for record, text in zip(frame["record"].tolist(), frame["text"], strict=True):
-                size = len(text)
-                out += [(record, digest, length, times, size) for (digest, length), times in Counter((d, end - start) for start, end, d in cut(text)).items()]
-            yield pd.DataFrame(out, columns=["record", "digest", "length", "times", "size"])
-
-    return df.select("record", "text").where("text IS NOT NULL AND text <> ''").mapInPandas(run, "record bigint, digest bigint, length int, times int, size int")
+            texts = frame["text"].tolist()
+            of, starts, ends, digests = cut_all(texts)
+            order = np.lexsort((ends - starts, digests, of))
+            of, lengths, digests = of[order], (ends - starts)[order], digests[order]
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (digests[1:] != digests[:-1]) | (lengths[1:] != lengths[:-1])
+            at = np.flatnonzero(new)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            yield pd.DataFrame({"record": frame["record"].to_numpy()[of[at]], "digest": digests[at], "length": lengths[at].astype(np.int32), "times": np.diff(np.append(at, len(of))).astype(np.int32), "size": sizes[of[at]].astype(np.int32)})
+
+    return df.select("record", "text").where("record IS NOT NULL AND text IS NOT NULL AND text <> ''").mapInPandas(run, "record bigint, digest bigint, length int, times int, size int")
 
 
 def shared(left: DataFrame, right: DataFrame) -> DataFrame:
