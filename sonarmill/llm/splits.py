@@ -64,28 +64,40 @@ def _merged(pairs: DataFrame) -> DataFrame:
         before = now
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _few(parts: list[DataFrame], most: int = 8) -> list[DataFrame]:
+    """The same rows in fewer parts, so that many rounds don't add up to very many partitions."""
+    return [cut_lineage(_all(parts).distinct())] if len(parts) > most else parts
+
+
 def components(vertices: DataFrame, edges: DataFrame, one_in: Sequence[int] = SEED_ONE_IN) -> DataFrame:
     """``(vertex, component)``; vertices: distinct ``vertex``; edges: ``(u, v)`` in both directions."""
     edges = cut_lineage(edges.repartition("u"))
     if not edges.head(1):
         return vertices.select("vertex", F.col("vertex").alias("component"))
     linked = edges.select(F.col("u").alias("vertex")).distinct()
-    seen, collisions = None, None
+    layers: list[DataFrame] = []
+    meetings: list[DataFrame] = []
     for k in one_in:
-        free = linked if seen is None else linked.join(seen, "vertex", "left_anti")
+        free = linked.join(_all(layers), "vertex", "left_anti") if layers else linked
         frontier = cut_lineage(free.where(F.pmod(F.xxhash64("vertex"), F.lit(k)) == 0).select("vertex", F.col("vertex").alias("label")))
-        seen = frontier if seen is None else seen.unionByName(frontier)
         while frontier.head(1):
+            layers = _few([*layers, frontier])
+            # the frontier is small beside the edges and the vertices seen: both are read in place, and what is shuffled follows the frontier
             reached = edges.join(frontier.withColumnRenamed("vertex", "u"), "u").select(F.col("v").alias("vertex"), "label").distinct()
-            known = seen.withColumnRenamed("label", "old")
-            met = cut_lineage(reached.join(known, "vertex", "left"))
-            fresh = met.where("old IS NULL").groupBy("vertex").agg(F.min("label").alias("first"))
-            frontier = cut_lineage(fresh.select("vertex", F.col("first").alias("label")))
+            before = _all(layers).withColumnRenamed("label", "old").join(reached.select("vertex").distinct(), "vertex")
+            met = cut_lineage(reached.join(before, "vertex", "left"))
+            frontier = cut_lineage(met.where("old IS NULL").groupBy("vertex").agg(F.min("label").alias("label")))
             late = met.where("old IS NOT NULL AND old <> label").select(F.col("old").alias("a"), F.col("label").alias("b"))
             same = met.where("old IS NULL").join(frontier.withColumnRenamed("label", "first"), "vertex").where("first <> label").select(F.col("first").alias("a"), F.col("label").alias("b"))
-            found = late.unionByName(same).distinct()
-            collisions = cut_lineage(found if collisions is None else collisions.unionByName(found).distinct())
-            seen = cut_lineage(seen.unionByName(frontier))
+            meetings = _few([*meetings, cut_lineage(late.unionByName(same).distinct())])
+    seen, collisions = _all(layers), _all(meetings)
     roots = _merged(collisions)
     labelled = seen.join(roots, "label", "left").select("vertex", F.coalesce("root", "label").alias("component"))
     return vertices.join(labelled, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
