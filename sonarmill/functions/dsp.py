@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATE = 16_000
@@ -334,6 +334,17 @@ def seed_of(content: bytes | None) -> int:
 
 # Spark
 
+
+def content_noise(content: Column, spread: float = 0.7) -> Column:
+    """A normal draw that depends on the content alone, for scores that must come out alike for the same recording."""
+
+    @F.pandas_udf("double")
+    def draw(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: float(np.random.default_rng(seed_of(bytes(x) if x is not None else None)).normal(0, spread)))
+
+    return draw(content)
+
+
 _FAMILY = "struct<values:array<array<float>>,shape:string>"
 FEATURES = "status string, error string, " + ", ".join(f"{name} {_FAMILY}" for name in ("mfcc", "mel", "spectral", "chroma", "zcr", "energy"))
 

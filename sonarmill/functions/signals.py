@@ -132,3 +132,15 @@ def random_time_mask(channels: Column, probability: float = 0.10, most: int = 8,
 
 def shape_text(channels: Column) -> Column:
     return F.concat(F.lit("("), F.size(channels).cast("string"), F.lit(", "), F.coalesce(F.size(F.get(channels, F.lit(0))), F.lit(0)).cast("string"), F.lit(")"))
+
+
+def joined_blocks(blocks: Column) -> Column:
+    """Blocks of channels put one behind the other in time, down to the fewest channels that any block has."""
+    fewest = F.array_min(F.transform(blocks, F.size))
+    return _given(fewest, lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.flatten(F.transform(blocks, lambda b: F.get(b, c))))).otherwise(F.array().cast("array<array<double>>")))
+
+
+def kept_blocks(blocks: Column, most: int = 240, shown: int = 120) -> Column:
+    """A bounded view of many blocks: every second one beyond ``most``, and at most the last ``shown``."""
+    thinned = F.when(F.size(blocks) > most, F.filter(blocks, lambda _, i: i % 2 == 0)).otherwise(blocks)
+    return F.slice(thinned, F.greatest(F.size(thinned) - shown + 1, F.lit(1)), F.lit(shown))

@@ -201,7 +201,22 @@ UNION ALL SELECT 'train_shard_manifest', row_seq, {sql.path_key('shard_path')},
 UNION ALL SELECT 'background_annotations', row_seq, p, t, run_id FROM ann),
 o AS (SELECT * FROM x WHERE p IS NOT NULL AND t IS NOT NULL AND {_THERE})"""
 
+_NAME = "replace(replace(lower({0}), ' ', '_'), '-', '_')".format(sql.strip("m.key"))
+
+
+def _children_sql(parents: str, name: str, above: str = "-1") -> str:
+    return f"""SELECT s.label_id, {above} AS parent_pos, 0 AS pos, m.value AS v FROM {parents} s, json_each(s.v) m WHERE {_NAME} = '{name}' AND m.type = 'OBJECT'
+UNION ALL SELECT s.label_id, {above}, CAST(e.key AS INT), e.value FROM {parents} s, json_each(s.v) m, json_each(m.value) e WHERE {_NAME} = '{name}' AND m.type = 'ARRAY' AND e.type = 'OBJECT'"""
+
+
+_LABEL_TEXTS = """a AS MATERIALIZED (SELECT label_id, ltrim(label, chr(65279)) AS x FROM uavirbase_labels WHERE label IS NOT NULL AND label <> ''),
+b AS MATERIALIZED (SELECT label_id, CASE WHEN json_type(x) = 'VARCHAR' THEN ltrim(json_extract_string(x, '$'), chr(65279)) ELSE x END AS x FROM a WHERE json_valid(x)),
+t AS MATERIALIZED (SELECT label_id, x::JSON AS v, -1 AS pos FROM b WHERE json_valid(x) AND json_type(CASE WHEN json_valid(x) THEN x END) = 'OBJECT')"""
+
 ORACLE = {
+    "p1_found": f"""WITH {_LABEL_TEXTS}, w AS ({_children_sql('t', 'weather_data')}), wm AS ({_children_sql('w', 'measurements')}), lm AS ({_children_sql('t', 'measurements')}),
+ma AS ({_children_sql('t', 'microphone_array')}), mi AS ({_children_sql('ma', 'microphones')}), ca AS ({_children_sql('mi', 'calibrations', 's.pos')})
+SELECT DISTINCT label_id, child, CAST(parent_pos AS INT) AS parent_pos, CAST(pos AS INT) AS pos FROM (SELECT label_id, 'weather_measurement' AS child, parent_pos, pos FROM wm UNION ALL SELECT label_id, 'label_measurement', parent_pos, pos FROM lm UNION ALL SELECT label_id, 'microphone', parent_pos, pos FROM mi UNION ALL SELECT label_id, 'calibration', parent_pos, pos FROM ca)""",
     "p2_found": f"""SELECT 'combined_manifest' AS table_name, {_GROUP} AS key_value FROM combined_manifest WHERE {_GROUP} IS NOT NULL GROUP BY 2 HAVING count(*) >= 0.02 * (SELECT count(*) FROM combined_manifest)
 UNION ALL SELECT 'train_shard_manifest', {_SEGMENT} FROM train_shard_manifest WHERE {_SEGMENT} IS NOT NULL GROUP BY 2 HAVING count(*) >= 0.02 * (SELECT count(*) FROM train_shard_manifest)""",
     "p2_group_results": _GROUP_STATES + "SELECT key_value, n_rows, n_sources, first_at, last_at, other_n_rows, n_rows * other_n_rows AS joined_rows, CAST(bytes * other_n_rows AS DOUBLE) AS joined_bytes FROM j",

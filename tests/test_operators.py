@@ -228,6 +228,15 @@ def test_waveforms(spark):
     assert masked["m"][0][1:6] == [1.0, 0.0, 0.0, 0.0, 1.0] and 1 <= sum(x == 0 for x in masked["r"][1]) <= 2
 
 
+def test_blocks_and_content_noise(spark):
+    df = spark.createDataFrame([([[[1.0, 2.0], [3.0, 4.0]], [[5.0], [6.0], [7.0]]],), ([],)], "b array<array<array<double>>>")
+    assert [r[0] for r in df.select(signals.joined_blocks(F.col("b"))).collect()] == [[[1.0, 2.0, 5.0], [3.0, 4.0, 6.0]], []]
+    many = spark.range(1).select(F.sequence(F.lit(0), F.lit(299)).alias("b"))
+    assert many.select(signals.kept_blocks(F.col("b"))).first()[0] == list(range(60, 300, 2))
+    noise = spark.createDataFrame([(b"a",), (b"a",), (b"b",), (None,)], "c binary").select(dsp.content_noise(F.col("c"))).collect()
+    assert noise[0] == noise[1] != noise[2] and noise[3][0] is not None
+
+
 def test_spectral_features_on_known_signals(spark):
     t = np.arange(64_000) / 16_000
     sine, noise = 0.5 * np.sin(2 * np.pi * 1000 * t), np.random.default_rng(1).normal(0, 0.1, 64_000)
