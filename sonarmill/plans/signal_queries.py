@@ -103,7 +103,7 @@ def feature_weights(spark: SparkSession, d: str) -> DataFrame:
 
 def window_event_rollup(spark: SparkSession, d: str) -> DataFrame:
     rows = windows(spark, d).withColumns({"zcr": F.col("onset") / 10, "rolloff": F.col("centroid") * 2, "peak": F.col("rms") * 1.5})
-    return _rounded(scoring.rolled_up(rows, ["user_id"], 0.6))
+    return _rounded(scoring.rolled_up(rows, ["user_id"], 0.6), 9)
 
 
 def mean_attention(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +171,7 @@ ORACLE = {
     "airspace_contacts": f"WITH {_X}, c AS (SELECT *, unnest(range(0, greatest(count, 1))) AS i FROM x), s AS (SELECT *, greatest(10, threat - i * 11) AS score FROM c) SELECT event_id, printf('DRONE %02d', i + 1) AS contact, round(distance + i * 4, 6) AS range_m, CAST((direction + i * 37) % 360 AS INT) AS bearing, round(greatest(0.5, speed - i * 1.4::DOUBLE), 6) AS contact_speed, round(score, 6) AS score, {_LEVEL.format(x='score', low='MEDIUM')} AS contact_level FROM s",
     "factor_breakdown": f"WITH {_X} SELECT event_id, 'Drone likelihood' AS factor, round(heuristic * 62, 6) AS contribution FROM x UNION ALL SELECT event_id, 'Speed contribution', round(least(speed / 28, 1) * 12, 6) FROM x UNION ALL SELECT event_id, 'Range contribution', round((1 - least(distance / 45, 1)) * 18, 6) FROM x UNION ALL SELECT event_id, 'Signal energy', round(least(rms * 180, 12), 6) FROM x",
     "feature_weights": f"WITH {_V}, s AS (SELECT vec_id, list_transform(w, lambda e: e * 10) AS w FROM v), r AS (SELECT vec_id, [0.22::DOUBLE * (1 + {_RMS.format(w='w')} / 25), 0.27::DOUBLE * (1 + {_PEAK.format(w='w')} / 20), 0.18::DOUBLE * 1.2::DOUBLE, 0.12::DOUBLE * 1.1::DOUBLE, 0.09::DOUBLE * 1.1::DOUBLE, 0.12::DOUBLE * 1.15::DOUBLE] AS f FROM s) SELECT vec_id, CAST(i AS INT) AS family, round(f[i + 1] / list_sum(f), 9) AS weight FROM (SELECT vec_id, f, unnest(range(0, 6)) AS i FROM r)",
-    "window_event_rollup": f"WITH {_W} SELECT user_id, count(*) AS windows, round(avg(rms), 6) AS rms, round(avg(centroid), 6) AS centroid, round(avg(onset / 10), 6) AS zcr, round(avg(onset), 6) AS onset, round(avg(centroid * 2), 6) AS rolloff, round(max(rms * 1.5), 6) AS peak, round(avg(model_probability), 6) AS mean_probability, round(max(model_probability), 6) AS peak_probability, count(*) FILTER (model_probability >= 0.6) AS positive_windows, bool_or(model_probability >= 0.6) AS decision FROM w GROUP BY 1",
+    "window_event_rollup": f"WITH {_W} SELECT user_id, count(*) AS windows, round(avg(rms), 9) AS rms, round(avg(centroid), 9) AS centroid, round(avg(onset / 10), 9) AS zcr, round(avg(onset), 9) AS onset, round(avg(centroid * 2), 9) AS rolloff, round(max(rms * 1.5), 9) AS peak, round(avg(model_probability), 9) AS mean_probability, round(max(model_probability), 9) AS peak_probability, count(*) FILTER (model_probability >= 0.6) AS positive_windows, bool_or(model_probability >= 0.6) AS decision FROM w GROUP BY 1",
     "mean_attention": "SELECT label, CAST(i - 1 AS INT) AS i, round(avg(x), 9) AS weight FROM (SELECT label, unnest(range(1, 7)) AS i, unnest(list_transform(embedding[1:6], lambda e: e::DOUBLE)) AS x FROM embeddings) GROUP BY 1, 2",
     "history_filter": f"WITH {_X} SELECT event_id, ts, 'Sensor-' || user_id AS source, category, level FROM x WHERE level = 'MEDIUM' AND category = 'Fixed-wing' AND contains(lower('Sensor-' || user_id), 'sensor-1')",
     "history_trend": f"WITH {_X} SELECT event_id, round(threat, 6) AS threat, level FROM x ORDER BY event_id DESC LIMIT 30",
