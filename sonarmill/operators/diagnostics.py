@@ -46,7 +46,7 @@ def top_shares(counts: DataFrame, by: Sequence[str], key: str, n: str, tops: Seq
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group with their ``place``."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k).withColumn("place", F.col("place").cast("bigint"))
 
 
 def error_counts(errors: DataFrame, by: Sequence[str], kind: str = "kind") -> DataFrame:
