@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sonarmill.session import cut_lineage
+
 TARGET = 256
 SMALL = 64
 #: Tiers are packed within so many hash buckets at the first level, half as many at each further one, to bound a task.
@@ -122,32 +124,59 @@ def relocate(rows: DataFrame, planned: DataFrame) -> DataFrame:
     return placed.select("record", "file", "slot", "new_file", (F.row_number().over(w) - 1).alias("new_slot"))
 
 
+JOURNAL = "txn_id string, state string, level int, inputs array<string>, at timestamp"
+TXN = "__txn_id"
+
+
+def _journal(spark: SparkSession, journal_dir: str) -> DataFrame:
+    try:
+        return spark.read.schema(JOURNAL).parquet(journal_dir)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], JOURNAL)
+
+
+def _carry_out(data: DataFrame, txns: DataFrame, output: str, journal_dir: str) -> None:
+    """Writes the transactions' records, each into its own folder, replacing what is there, and commits them."""
+    moves = txns.select(F.explode("inputs").alias("__file"), F.col("txn_id").alias(TXN))
+    moved = data.withColumn("__file", F.col("_metadata.file_path")).join(moves, "__file").drop("__file")
+    moved.repartition(F.col(TXN)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(TXN).parquet(output)
+    txns.select("txn_id", F.lit("commit").alias("state"), "level", "inputs", F.current_timestamp().alias("at")).write.mode("append").parquet(journal_dir)
+
+
 def compact_directory(spark: SparkSession, source: str, output: str, journal_dir: str, target_bytes: int = 128 << 20) -> int:
     """Consolidate the Parquet files of ``source`` into ``output``; returns how many transactions were carried out.
 
-    A transaction is done once the journal names it; running again, also after a failure, carries out only what is
-    missing. The write of a transaction replaces its own folder, so one that broke off leaves no doubles.
+    A transaction is named by the digest of its inputs and journalled before it begins and after it is done. What an
+    earlier run began and didn't commit is carried out first, with the inputs that it named; then files that no
+    transaction has taken are planned. So no file is moved twice, whatever breaks off or arrives in between, and
+    running again does nothing. ``committed`` reads what is done.
     """
-    unit = max(1, target_bytes // 256)
+    data = spark.read.option("recursiveFileLookup", "true").parquet(source)
+    known = _journal(spark, journal_dir)
+    done = known.where("state = 'commit'").select("txn_id")
+    pending = known.where("state = 'begin'").join(done, "txn_id", "left_anti").dropDuplicates(["txn_id"])
+    count = pending.count()
+    if count:
+        _carry_out(data, cut_lineage(pending), output, journal_dir)
+        known = _journal(spark, journal_dir)
+    unit = max(1, target_bytes // TARGET)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(source)
-    files = listed.select(F.col("path").alias("file"), F.greatest(F.ceil(F.col("length") / unit), F.lit(1)).alias("n_slots"))
-    planned = plan(files, target=256, buckets=1).withColumn("txn_id", F.coalesce("output", F.sha2(F.concat(F.lit("keep|"), "file"), 256)))
-    try:
-        done = spark.read.parquet(journal_dir).select("txn_id").distinct()
-        planned = planned.join(done, "txn_id", "left_anti")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-    planned = planned.select("file", "txn_id", F.coalesce("level", F.lit(-1)).alias("level"), "n").persist()
-    try:
-        txns = planned.select("txn_id").distinct().count()
-        if not txns:
-            return 0
-        data = spark.read.option("recursiveFileLookup", "true").parquet(source)
-        clash = "__txn_id"
-        moved = data.withColumn("__file", F.col("_metadata.file_path")).join(planned.select(F.col("file").alias("__file"), F.col("txn_id").alias(clash)), "__file").drop("__file")
-        moved.repartition(F.col(clash)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(clash).parquet(output)
-        planned.groupBy("txn_id", "level").agg(F.sort_array(F.collect_list("file")).alias("inputs"), F.sum("n").alias("units")).withColumn("output", F.concat(F.lit(f"{output}/{clash}="), "txn_id")).withColumn("committed_at", F.current_timestamp()).write.mode("append").parquet(journal_dir)
-        return txns
-    finally:
-        planned.unpersist()
+    files = listed.select(F.col("_metadata.file_path").alias("file"), F.greatest(F.ceil(F.col("length") / unit), F.lit(1)).alias("n_slots"))
+    free = files.join(known.select(F.explode("inputs").alias("file")).distinct(), "file", "left_anti")
+    planned = plan(free, target=TARGET, buckets=1)
+    # a plan's output has at most TARGET inputs
+    txns = planned.groupBy(F.coalesce("output", "file").alias("o")).agg(F.sort_array(F.collect_list("file")).alias("inputs"), F.coalesce(F.max("level"), F.lit(-1)).alias("level"))
+    txns = cut_lineage(txns.select(F.sha2(F.array_join("inputs", "|"), 256).alias("txn_id"), "level", "inputs"))
+    new = txns.count()
+    if new:
+        txns.select("txn_id", F.lit("begin").alias("state"), "level", "inputs", F.current_timestamp().alias("at")).write.mode("append").parquet(journal_dir)
+        _carry_out(data, txns, output, journal_dir)
+    return count + new
+
+
+def committed(spark: SparkSession, output: str, journal_dir: str) -> DataFrame:
+    """The consolidated records of all committed transactions."""
+    done = _journal(spark, journal_dir).where("state = 'commit'").select(F.col("txn_id").alias(TXN)).distinct()
+    return spark.read.parquet(output).join(done, TXN, "left_semi").drop(TXN)

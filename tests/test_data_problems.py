@@ -161,15 +161,30 @@ def test_plan_fills_files_and_keeps_every_record(spark):
     assert compaction.plan(files.where("false")).count() == 0
 
 
-def test_compact_directory_is_idempotent(spark, tmp_path):
+def test_compact_directory_is_idempotent(spark, tmp_path, monkeypatch):
     source, out, journal = (str(tmp_path / x) for x in ("in", "out", "journal"))
+    ids = lambda: rows(compaction.committed(spark, out, journal).select("id"))
+    run = lambda: compaction.compact_directory(spark, source, out, journal, target_bytes=1 << 20)
     spark.range(1000).repartition(40).write.parquet(source)
-    assert compaction.compact_directory(spark, source, out, journal, target_bytes=1 << 20) >= 1
-    assert rows(spark.read.parquet(out).select("id")) == [(i,) for i in range(1000)]
-    assert spark.read.parquet(out).inputFiles().__len__() < 10
+    assert run() >= 1 and ids() == [(i,) for i in range(1000)]
+    assert len(compaction.committed(spark, out, journal).inputFiles()) < 10
     before = spark.read.parquet(journal).count()
-    assert compaction.compact_directory(spark, source, out, journal, target_bytes=1 << 20) == 0
-    assert spark.read.parquet(journal).count() == before and spark.read.parquet(out).count() == 1000
+    assert run() == 0 and spark.read.parquet(journal).count() == before
+    # later files, and a run that breaks off after it has written records but before it commits them
+    spark.range(1000, 1500).repartition(10).write.mode("append").parquet(source)
+    carry = compaction._carry_out
+
+    def broken(data, txns, *more):
+        carry(data, txns, out, str(tmp_path / "lost"))
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(compaction, "_carry_out", broken)
+    with pytest.raises(RuntimeError):
+        run()
+    assert ids() == [(i,) for i in range(1000)]
+    monkeypatch.setattr(compaction, "_carry_out", carry)
+    spark.range(1500, 1600).repartition(5).write.mode("append").parquet(source)
+    assert run() >= 2 and ids() == [(i,) for i in range(1600)] and run() == 0
 
 
 # problem 5
