@@ -25,11 +25,11 @@ def main(arguments: list[str] | None = None) -> int:
         df = registry.QUERIES[a.name](spark, a.data)
         tables.write_table(df, a.output) if a.output else df.show(50, truncate=False)
         return 0
-    options, rules = pipeline.Options(seed=a.seed, shard_size=a.shard_size), stream_queries.RULES
+    options = pipeline.Options(seed=a.seed, shard_size=a.shard_size)
     if a.job == "manifest":
-        tables.write_table(adapters.with_label(pipeline.dataset_rows(spark, a.data, rules), 1), a.output)
+        tables.write_table(adapters.with_label(pipeline.dataset_rows(spark, a.data, stream_queries.RULES), 1), a.output)
     elif a.job == "background":
-        tables.write_table(adapters.with_label(pipeline.dataset_rows(spark, a.data, rules), 0), a.output)
+        tables.write_table(adapters.with_label(pipeline.dataset_rows(spark, a.data, stream_queries.ALL_RULES), 0), a.output)
     elif a.job == "splits":
         canonical, quarantined = pipeline.prepared_splits(spark.read.parquet(a.data), options)
         tables.write_table(canonical, f"{a.output}/manifest", ("split",)), tables.write_table(quarantined, f"{a.output}/conflicts")
@@ -38,7 +38,7 @@ def main(arguments: list[str] | None = None) -> int:
     elif a.job == "preflight":
         tables.write_json_report(pipeline.preflight(spark.read.parquet(a.data)), a.output)
     elif a.job == "rebuild":
-        print(pipeline.rebuild(spark, a.data, a.output, rules, options))
+        print(pipeline.rebuild(spark, a.data, a.output, stream_queries.ALL_RULES, options))
     elif a.job == "npz":
         tables.write_table(pipeline.export_npz(spark.read.parquet(a.data), a.output), f"{a.output}/manifest")
     return 0

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -131,8 +132,8 @@ TXN = "__txn_id"
 def _journal(spark: SparkSession, journal_dir: str) -> DataFrame:
     try:
         return spark.read.schema(JOURNAL).parquet(journal_dir)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], JOURNAL)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +53,20 @@ def _annotations(spark: SparkSession, root: str, rule: adapters.Rule) -> DataFra
 
 
 def dataset_rows(spark: SparkSession, root: str, registry: adapters.Registry) -> DataFrame:
-    """Labelled rows of all enabled datasets, both labels; rows of one label are picked by ``adapters.with_label``."""
+    """Labelled rows of all enabled datasets that are there, both labels; rows of one label are picked by ``adapters.with_label``."""
     out = None
     for rule in registry.enabled():
-        files = raw_files(spark, root, rule)
+        try:
+            files = raw_files(spark, root, rule)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
         inputs = {"json": lambda r=rule: [_label_texts(spark, root, r)], "csv": lambda r=rule: [_annotations(spark, root, r)]}.get(rule.label_source, list)()
         rows = adapters.rows_of(rule, files, *inputs)
         out = rows if out is None else out.unionByName(rows)
     if out is None:
-        raise ValueError("no dataset is enabled")
+        raise ValueError("no enabled dataset is there")
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,16 +11,18 @@ from sonarmill.functions import signals
 from sonarmill.sources import adapters
 from sonarmill.streaming import windows
 
-# fixed values: the datasets, how their labels are found and the labels of their directories
+# fixed values: the datasets in their order, how their labels are found and the labels of their directories
 RULES = adapters.Registry([
-    adapters.Rule("drone_audio", "drone_audio", "directory", labels=(("yes_drone", 1), ("unknown", 0))),
+    adapters.Rule("drone_audio", "drone_audio", "directory", labels=(("yes_drone", 1),)),
     adapters.Rule("al_emadi", "al_emadi", "directory", labels=(("Binary_Drone_Audio/yes_drone", 1), ("Binary_Drone_Audio/unknown", 0))),
-    adapters.Rule("ddl", "ddl", "filename"),
     adapters.Rule("kaist", "kaist", "filename"),
+    adapters.Rule("ddl", "ddl", "filename"),
     adapters.Rule("uavirbase", "uavirbase", "json", annotation_file="label.json"),
-    adapters.Rule("esc50", "esc50", "csv", annotation_file="esc50_labels.csv"),
+    adapters.Rule("esc50", "esc50", "csv", annotation_file="esc50_labels.csv", enabled=False),
     adapters.Rule("urbansound8k", "urbansound8k", "csv", annotation_file="UrbanSound8K.csv", enabled=False),
 ])
+#: The background-only datasets give no supervised rows, but background rows and the whole pipeline need them.
+ALL_RULES = adapters.Registry([dataclasses.replace(r, enabled=True) for r in RULES.rules])
 
 
 def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +59,7 @@ ORACLE = {
     "stream_event_windows": "WITH b AS (SELECT *, time_bucket(INTERVAL '2 hours', ts, TIMESTAMP '1970-01-01') AS k FROM events), s AS (SELECT event_type, value, k AS started FROM b UNION ALL SELECT event_type, value, k - INTERVAL '2 hours' FROM b) SELECT started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY 1, 2",
     "stream_sample_windows": """WITH e AS (SELECT label::VARCHAR AS stream, flatten(list(list_transform(embedding, lambda x: x::DOUBLE) ORDER BY vec_id)) AS w FROM embeddings GROUP BY 1), i AS (SELECT stream, w, unnest(range(0, (len(w) - 96) // 48 + 1)) AS index FROM e WHERE len(w) >= 96), c AS (SELECT stream, index, w[index * 48 + 1 : index * 48 + 96] AS w FROM i)
 SELECT stream, index, index * 48 AS start, index * 48 + 96 AS "end", round(sqrt(list_sum(list_transform(w, lambda x: x * x)) / 96), 6) AS rms, round(list_max(list_transform(w, lambda x: abs(x))), 6) AS peak, round(list_sum(list_transform(range(1, 96), lambda j: CASE WHEN (w[j] < 0) <> (w[j + 1] < 0) THEN 1 ELSE 0 END)) / 96, 6) AS zcr FROM c""",
-    "dataset_registry": "SELECT * FROM (VALUES (0, 'drone_audio', 'directory', 2), (1, 'al_emadi', 'directory', 2), (2, 'ddl', 'filename', 0), (3, 'kaist', 'filename', 0), (4, 'uavirbase', 'json', 0), (5, 'esc50', 'csv', 0)) t(place, name, label_source, n_labels)",
-    "directory_labels": "SELECT 'drone_audio' AS dataset, CASE WHEN starts_with(relative_path, 'yes_drone/') THEN 1 ELSE 0 END AS binary_label, 'directory:' || split_part(relative_path, '/', 1) AS label_origin, count(*) AS n_rows, count(DISTINCT regexp_replace(regexp_replace(regexp_replace(relative_path, '^.*/', ''), '(.)\\.[^.]*$', '\\1'), '(.)_\\d+_?$', '\\1')) AS n_groups FROM combined_manifest WHERE dataset = 'drone_audio' AND (starts_with(relative_path, 'yes_drone/') OR starts_with(relative_path, 'unknown/')) AND regexp_matches(lower(relative_path), '\\.(wav|mp3|flac|ogg|m4a)$') GROUP BY 1, 2, 3",
+    "dataset_registry": "SELECT * FROM (VALUES (0, 'drone_audio', 'directory', 1), (1, 'al_emadi', 'directory', 2), (2, 'kaist', 'filename', 0), (3, 'ddl', 'filename', 0), (4, 'uavirbase', 'json', 0)) t(place, name, label_source, n_labels)",
+    "directory_labels": "SELECT 'drone_audio' AS dataset, 1 AS binary_label, 'directory:' || split_part(relative_path, '/', 1) AS label_origin, count(*) AS n_rows, count(DISTINCT regexp_replace(regexp_replace(regexp_replace(relative_path, '^.*/', ''), '(.)\\.[^.]*$', '\\1'), '(.)_\\d+_?$', '\\1')) AS n_groups FROM combined_manifest WHERE dataset = 'drone_audio' AND starts_with(relative_path, 'yes_drone/') AND regexp_matches(lower(relative_path), '\\.(wav|mp3|flac|ogg|m4a)$') GROUP BY 1, 2, 3",
     "annotated_files": "WITH f AS (SELECT substr(file_path, 11) AS p, max(size_bytes) AS z FROM stored_files WHERE file_path LIKE 'raw/esc50/%' GROUP BY 1) SELECT p AS relative_path, category AS source_category, trim(fold) AS source_fold, 'esc50:' || trim(source_id) AS recording_group_id, z AS size_bytes FROM background_annotations JOIN f ON p = 'wav_files/' || trim(file_name) WHERE dataset = 'esc50'",
 }

@@ -22,6 +22,7 @@ RULES = adapters.Registry([
     adapters.Rule("drone_audio", "drone_audio", "directory", labels=(("yes_drone", 1), ("unknown", 0))),
     adapters.Rule("uavirbase", "uavirbase", "json", annotation_file="label.json"),
     adapters.Rule("esc50", "esc50", "csv", annotation_file="labels.csv"),
+    adapters.Rule("kaist", "not_there", "filename"),
 ])
 
 
