@@ -163,21 +163,31 @@ def _orphans(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return out
 
 
+def _wrong_summaries(spark: SparkSession, d: str, audio: DataFrame) -> DataFrame:
+    """Runs that state another number of missing files than there are; audio: ``run_id`` of each orphan annotation."""
+    stated = read_table(spark, d, "background_manifest_summary").select("run_id", "created_at_utc", "missing_audio_files").where("missing_audio_files IS NOT NULL")
+    counted = audio.groupBy("run_id").agg(F.count("*").alias("n"))
+    return stated.join(counted, "run_id", "left").where(F.col("missing_audio_files") != F.coalesce("n", F.lit(0)))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = _orphans(spark, d)
     audio = found["background_annotations"].select("row_key.row_seq", "row_key.run_id")
     out = audio.select(F.lit("background_annotations").alias("table_name"), F.col("row_seq").alias("row_key"))
     for table in ("train_segments", "train_shard_manifest"):
         out = out.unionByName(found[table].select(F.lit(table).alias("table_name"), "row_key"))
-    stated = read_table(spark, d, "background_manifest_summary").select("run_id", "missing_audio_files").where("missing_audio_files IS NOT NULL")
-    counted = audio.groupBy("run_id").agg(F.count("*").alias("n"))
-    wrong = stated.join(counted, "run_id", "left").where(F.col("missing_audio_files") != F.coalesce("n", F.lit(0)))
-    return out.unionByName(wrong.select(F.lit("background_manifest_summary").alias("table_name"), F.col("run_id").alias("row_key")))
+    return out.unionByName(_wrong_summaries(spark, d, audio).select(F.lit("background_manifest_summary").alias("table_name"), F.col("run_id").alias("row_key")))
 
 
 def p5_by_month(spark: SparkSession, d: str) -> DataFrame:
-    parts = [references.by_period(found.select("at"), table) for table, found in _orphans(spark, d).items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("table_name", F.date_format("period", "yyyy-MM").alias("month"), "orphans")
+    found = _orphans(spark, d)
+    parts = [references.by_period(rows.select("at"), table) for table, rows in found.items()]
+    wrong = _wrong_summaries(spark, d, found["background_annotations"].select("row_key.run_id"))
+    parts.append(references.by_period(wrong.select(F.col("created_at_utc").alias("at")), "background_manifest_summary"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.select("table_name", F.date_format("period", "yyyy-MM").alias("month"), "orphans")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p1_weather, p1_microphones, p1_calibrations, p2_found, p2_group_results, p2_segment_results, p2_dataset_rollup, p4_found, p4_journal, p4_compacted, p5_found, p5_by_month)}
@@ -230,5 +240,6 @@ UNION ALL SELECT 'taken_twice', p || '#' || i FROM held GROUP BY p, i HAVING cou
 UNION ALL SELECT 'repeated_file', p FROM mf WHERE p IS NOT NULL GROUP BY p HAVING count(*) > 1""",
     "p5_found": _ORPHANS_SQL + """ SELECT table_name, row_key FROM o
 UNION ALL SELECT 'background_manifest_summary', s.run_id FROM background_manifest_summary s WHERE missing_audio_files IS NOT NULL AND missing_audio_files <> (SELECT count(*) FROM o WHERE o.table_name = 'background_annotations' AND o.run_id = s.run_id)""",
-    "p5_by_month": _ORPHANS_SQL + " SELECT table_name, strftime(t, '%Y-%m') AS month, count(*) AS orphans FROM o GROUP BY 1, 2",
+    "p5_by_month": _ORPHANS_SQL + """ SELECT table_name, strftime(t, '%Y-%m') AS month, count(*) AS orphans FROM o GROUP BY 1, 2
+UNION ALL SELECT 'background_manifest_summary', strftime(created_at_utc, '%Y-%m'), count(*) FROM background_manifest_summary s WHERE missing_audio_files IS NOT NULL AND missing_audio_files <> (SELECT count(*) FROM o WHERE o.table_name = 'background_annotations' AND o.run_id = s.run_id) GROUP BY 2""",
 }
