@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -136,7 +137,7 @@ class Profiles:
 
     def distances(self, counts: Counter, most: int = TEXT_PROFILE) -> np.ndarray:
         """Out-of-place distance of a text's most frequent n-grams to each profile, from 0 to 1; equally frequent ones in order of appearance."""
-        top = counts.most_common(most)
+        top = sorted(counts.items(), key=itemgetter(1), reverse=True)[:most]
         if not top:
             return np.ones(len(self.languages))
         places = self.lookup(g for g, _ in top)
@@ -299,12 +300,14 @@ def identify(documents: DataFrame, profiles: Profiles, key: str = "doc_id", text
                         rows.append((k, known, None, None, None, None, None, 0.0))
                         continue
                     share: Counter = Counter()
-                    whole: Counter = Counter()
-                    for a, b, held, _, counts in own:
+                    for a, b, held, _, _ in own:
                         share[held] += b - a
-                        whole.update(counts)
                     main = max(share, key=lambda x: (share[x], x))
-                    sure = _confidence(profiles.distances(whole), profiles.languages.index(main))
+                    if len(own) == 1:  # the stretch is the document
+                        sure = own[0][3]
+                    else:
+                        whole = sum((counts for *_, counts in own), Counter())
+                        sure = _confidence(profiles.distances(whole), profiles.languages.index(main))
                     rows += [(k, known, a, b, held, c, main, round(sure * share[main] / sum(share.values()), 6)) for a, b, held, c, _ in own]
                 out = pd.DataFrame(rows, columns=columns)
                 yield out.astype({"first_word": "Int32", "end_word": "Int32"})
