@@ -120,20 +120,34 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return wrong.select("kind", item.alias("item")).unionByName(repeated.select(F.lit("repeated_file").alias("kind"), F.col("file").alias("item")))
 
 
-def _shard_plan(rows: DataFrame) -> DataFrame:
+def _feature_records(spark: SparkSession, d: str) -> DataFrame:
+    """The tiny feature files, each the one record it holds, however many rows name it."""
+    files = read_table(spark, d, "train_feature_manifest").select(keys.path_key("mfcc_path").alias("path")).distinct()
+    return compaction.records(files, F.col("path"), F.lit(0), F.col("path"))
+
+
+#: The tables that name small files, with the records in them.
+_SMALL_FILES = {"train_feature_manifest": _feature_records, "train_shard_manifest": _shard_records}
+
+
+def _file_plan(rows: DataFrame) -> DataFrame:
     files = rows.where("file IS NOT NULL AND slot IS NOT NULL").distinct().groupBy("file").agg(F.count("*").alias("n_slots"))
     return compaction.plan(files.withColumn("part", F.regexp_extract("file", "^(.*)/", 1)), part="part")
 
 
 def p4_journal(spark: SparkSession, d: str) -> DataFrame:
-    """The transactions that merge the shards."""
-    return compaction.journal(_shard_plan(_shard_records(spark, d)))
+    """The transactions that merge the feature files and those that merge the shards."""
+    parts = [compaction.journal(_file_plan(records(spark, d))).select(F.lit(table).alias("table_name"), "*") for table, records in _SMALL_FILES.items()]
+    return parts[0].unionByName(parts[1])
 
 
 def p4_compacted(spark: SparkSession, d: str) -> DataFrame:
-    """Each record's place after compaction."""
-    rows = _shard_records(spark, d)
-    return compaction.relocate(rows, _shard_plan(rows))
+    """Each record's place after compaction; the record is the path of a feature file and the segment of a shard's slot."""
+    parts = []
+    for table, records in _SMALL_FILES.items():
+        rows = records(spark, d)
+        parts.append(compaction.relocate(rows, _file_plan(rows)).select(F.lit(table).alias("table_name"), "*"))
+    return parts[0].unionByName(parts[1])
 
 
 # problem 5: references to files that are not there

@@ -161,6 +161,26 @@ def test_plan_fills_files_and_keeps_every_record(spark):
     assert compaction.plan(files.where("false")).count() == 0
 
 
+def test_feature_files_are_compacted_too(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    features = spark.read.parquet(f"{folder}/train_feature_manifest.parquet")
+    extra = [f"features/mfcc/f{i:04}.npy" for i in range(600)]
+    spelt = [" /srv/x/./" + x.replace("/", "\\") for x in extra[:50]]  # other spellings of the same files
+    more = spark.createDataFrame([(x,) for x in extra + spelt + [None, ""]], "mfcc_path string")
+    features.unionByName(more, allowMissingColumns=True).write.parquet(f"{tmp_path}/train_feature_manifest.parquet")
+    spark.read.parquet(f"{folder}/train_shard_manifest.parquet").write.parquet(f"{tmp_path}/train_shard_manifest.parquet")
+    mine = "table_name = 'train_feature_manifest'"
+    expected = {r[0] for r in features.select(keys.path_key("mfcc_path")).collect() if r[0]} | set(extra)
+    moved = data_problems.p4_compacted(spark, str(tmp_path)).where(mine).collect()
+    assert Counter(r["record"] for r in moved) == Counter(expected) and all(r["record"] == r["file"] for r in moved)
+    sizes = Counter(r["new_file"] for r in moved)
+    assert {(r["new_file"], r["new_slot"]) for r in moved} == {(f, i) for f, n in sizes.items() for i in range(n)}
+    assert max(sizes.values()) <= compaction.TARGET and sum(n <= compaction.TARGET // 2 for n in sizes.values()) <= 1
+    journal = data_problems.p4_journal(spark, str(tmp_path))
+    assert {r["txn_id"]: r["n_records"] for r in journal.where(mine).collect()} == {f: n for f, n in sizes.items() if n > 1}
+    assert journal.where("table_name = 'train_shard_manifest'").count() == data_problems.p4_journal(spark, folder).where("table_name = 'train_shard_manifest'").count() > 0
+
+
 def test_compact_directory_is_idempotent(spark, tmp_path, monkeypatch):
     source, out, journal = (str(tmp_path / x) for x in ("in", "out", "journal"))
     ids = lambda: rows(compaction.committed(spark, out, journal).select("id"))
