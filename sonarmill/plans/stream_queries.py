@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarmill.functions import signals
+from sonarmill.functions import keys, signals
 from sonarmill.sources import adapters
 from sonarmill.streaming import windows
 
@@ -48,10 +48,16 @@ def directory_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotated_files(spark: SparkSession, d: str) -> DataFrame:
-    """Annotated background files of one dataset that the inventory has ever held."""
-    stored = spark.read.parquet(f"{d}/stored_files.parquet").where("file_path LIKE 'raw/esc50/%'").select(F.substring("file_path", 11, 1 << 30).alias("relative_path"), "size_bytes").groupBy("relative_path").agg(F.max("size_bytes").alias("size_bytes")).withColumn("sha256", F.lit(None).cast("string"))
-    listed = spark.read.parquet(f"{d}/background_annotations.parquet").where("dataset = 'esc50'").select("file_name", "fold", "category", "source_id")
-    return adapters.rows_of(RULES["esc50"], stored, listed).select("relative_path", "source_category", "source_fold", "recording_group_id", "size_bytes")
+    """Annotated background files of the datasets with CSV annotations that the inventory has ever held, however their paths are spelt."""
+    held = spark.read.parquet(f"{d}/stored_files.parquet").select(keys.path_key("file_path").alias("path"), "size_bytes")
+    listed = spark.read.parquet(f"{d}/background_annotations.parquet").select(F.lower(keys.strip("dataset")).alias("dataset"), keys.strip("file_name").alias("file_name"), keys.strip("fold").alias("fold"), "category", "source_id")
+    out = None
+    for rule in (r for r in RULES.rules if r.label_source == "csv"):
+        home = f"raw/{rule.directory}/"
+        stored = held.where(F.startswith("path", F.lit(home))).select(F.substring("path", len(home) + 1, 1 << 30).alias("relative_path"), "size_bytes").groupBy("relative_path").agg(F.max("size_bytes").alias("size_bytes")).withColumn("sha256", F.lit(None).cast("string"))
+        rows = adapters.rows_of(rule, stored, listed.where(F.col("dataset") == rule.name)).select("relative_path", "source_category", "source_fold", "recording_group_id", "size_bytes")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 QUERIES = {f.__name__: f for f in (stream_event_windows, stream_sample_windows, dataset_registry, directory_labels, annotated_files)}

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sonarmill.plans import stream_queries
 from sonarmill.sources import adapters, audio, tables
 from sonarmill.streaming import windows
 
@@ -92,6 +93,19 @@ def test_registry_and_adapters(spark):
         adapters.with_label(adapters.rows_of(rules["drone_audio"], files), 1, strict=True).collect()
 
 
+def test_annotated_files_of_every_csv_dataset_in_any_spelling(spark, tmp_path):
+    stored = [("raw/esc50/wav_files/a.wav", 5), ("raw\\esc50\\wav_files\\b.wav", 6), (" /srv/x/raw/./esc50//wav_files/a.wav ", 9), ("raw/urbansound8k/fold3/c.wav", 7), ("./raw\\urbansound8k/fold10/c.wav", 8), ("raw/other/wav_files/a.wav", 99), (None, 1)]
+    listed = [("esc50", " a.wav", "1 ", "crow", "17"), ("esc50", "b.wav", "2", None, "18"), ("esc50", "c.wav", "3", "dog", "19"), ("urbansound8k", "c.wav\t", " 3", "siren", "20"), ("urbansound8k", "c.wav", "10", "siren", "21"), ("urbansound8k", "a.wav", "1", "siren", "22"), ("other", "a.wav", "1", "x", "23"), (None, "a.wav", "1", "x", "24")]
+    spark.createDataFrame(stored, "file_path string, size_bytes bigint").write.parquet(f"{tmp_path}/stored_files.parquet")
+    spark.createDataFrame(listed, "dataset string, file_name string, fold string, category string, source_id string").write.parquet(f"{tmp_path}/background_annotations.parquet")
+    got = stream_queries.annotated_files(spark, str(tmp_path))
+    assert got.columns == ["relative_path", "source_category", "source_fold", "recording_group_id", "size_bytes"]
+    assert sorted(tuple(r) for r in got.collect()) == [
+        ("fold10/c.wav", "siren", "10", "urbansound8k:21", 8), ("fold3/c.wav", "siren", "3", "urbansound8k:20", 7),
+        ("wav_files/a.wav", "crow", "1", "esc50:17", 9), ("wav_files/b.wav", None, "2", "esc50:18", 6),
+    ]
+
+
 def test_tables(spark, tmp_path):
     path = str(tmp_path / "shards.csv")
     head = "split,segment_id,binary_label,source_sha256,recording_group_id,source_dataset,source_relative_path,shard_path,shard_index"
