@@ -5,6 +5,9 @@ The CGK random walk turns a window into a string of three times its length, so t
 places; an LSH table samples ``sample`` places of one walk. Tables are repeated, each with its own walk and sample,
 until windows within ``edits`` word edits meet in some table with probability ``recall``; equal windows meet in every
 table. Each meeting is then verified by the exact edit distance of the words, so nothing false comes out.
+An inserted or dropped word moves the end of a document's window: with ``free_end`` a passage is compared with all windows
+that begin where the meeting's does and have up to ``edits`` words less or more, the nearest counting; else with the one
+of equal length, where a moved end costs an edit of its own.
 
 The item side is small and the corpus is never shuffled: documents are read once, in Arrow batches, against the items'
 keys. That side is broadcast only up to ``ITEM_CHARS`` characters, measured before; beyond it the keys of both sides
@@ -71,11 +74,11 @@ def window_keys(hashes: np.ndarray, starts: np.ndarray, window: int, table: int,
     return key
 
 
-def edit_distance(a: list[str], b: list[str], most: int) -> int:
-    """Word edit distance, or ``most + 1`` if it is larger."""
-    if abs(len(a) - len(b)) > most:
+def edit_distance(a: list[str], b: list[str], most: int, free_end: bool = False) -> int:
+    """Word edit distance, or ``most + 1`` if it is larger; with ``free_end`` that of ``a`` to the nearest beginning of ``b``."""
+    if not free_end and abs(len(a) - len(b)) > most:
         return most + 1
-    if a == b:
+    if a == (b[: len(a)] if free_end else b):
         return 0
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -84,7 +87,7 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
             before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
         if min(row) > most:
             return most + 1
-    return min(row[-1], most + 1)
+    return min(min(row) if free_end else row[-1], most + 1)
 
 
 @functools.lru_cache(maxsize=64)
@@ -124,13 +127,17 @@ class _Hashes(dict):
         return out
 
 
-def _blocks(ids: list, texts: list, window: int) -> Iterator[tuple[list, list[list[str]]]]:
-    """Documents with at least one window, in blocks of bounded words; a longer text is a block of its own."""
+def _blocks(ids: list, texts: list, window: int, spare: int = 0) -> Iterator[tuple[list, list[list[str]]]]:
+    """Documents with at least one window, in blocks of bounded words; a longer text is a block of its own.
+
+    ``spare`` blanks, which equal no word, end each document, so that its last windows may be so many words short.
+    """
     held, docs, n = [], [], 0
     for key, text in zip(ids, texts, strict=True):
         found = words(text)
-        if key is None or len(found) < window:
+        if key is None or len(found) + spare < window or not found:
             continue
+        found += [""] * spare
         if docs and n + len(found) > BLOCK_WORDS:
             yield held, docs
             held, docs, n = [], [], 0
@@ -152,8 +159,8 @@ def _starts(docs: list[list[str]], window: int) -> tuple[np.ndarray, np.ndarray]
 class Passages:
     """The items' passages and their keys, as broadcast to the workers."""
 
-    def __init__(self, rows: list[tuple[int, str]], window: int, tables: int, sample: int | None, edits: int):
-        self.window, self.tables, self.sample, self.edits = window, tables, sample, edits
+    def __init__(self, rows: list[tuple[int, str]], window: int, tables: int, sample: int | None, edits: int, free_end: bool = False):
+        self.window, self.tables, self.sample, self.edits, self.free_end = window, tables, sample, edits, free_end
         self.items, self.words, keys, refs = [], [], [], []
         hashes = _Hashes()
         for ids, docs in _blocks([r[0] for r in rows], [r[1] for r in rows], window):
@@ -192,7 +199,8 @@ def _verified(docs: list[list[str]], of: np.ndarray, starts: np.ndarray, passage
             if (place := (doc, item, at, start)) in seen:
                 continue
             seen.add(place)
-            far = edit_distance(docs[doc][at : at + window], passages.words[item][start : start + window], passages.edits)
+            reach = at + window + (passages.edits if passages.free_end else 0)
+            far = edit_distance(passages.words[item][start : start + window], docs[doc][at:reach], passages.edits, passages.free_end)
             if far <= passages.edits:
                 yield doc, item, at, start, far
 
@@ -200,7 +208,7 @@ def _verified(docs: list[list[str]], of: np.ndarray, starts: np.ndarray, passage
 FOUND = "doc_id bigint, item_id bigint, doc_start int, item_start int, edits int"
 
 
-def found_passages(documents: DataFrame, items: DataFrame, edits: int = 0, window: int = WINDOW, recall: float = RECALL, sample: int = SAMPLE, item_chars: int = ITEM_CHARS) -> DataFrame:
+def found_passages(documents: DataFrame, items: DataFrame, edits: int = 0, window: int = WINDOW, recall: float = RECALL, sample: int = SAMPLE, item_chars: int = ITEM_CHARS, free_end: bool = False) -> DataFrame:
     """Every verified meeting ``FOUND`` of a document's window with an item's passage.
 
     documents: ``doc_id, text``; items: ``item_id, text``. With ``edits`` 0 a table samples all places of its walk: equal
@@ -211,15 +219,15 @@ def found_passages(documents: DataFrame, items: DataFrame, edits: int = 0, windo
     documents = documents.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     if size > item_chars:
-        return _joined_passages(documents, items, edits, window, tables, places)
-    passages = Passages([(r["item_id"], r["text"]) for r in items.distinct().collect()], window, tables, places, edits)  # at most item_chars characters
+        return _joined_passages(documents, items, edits, window, tables, places, free_end)
+    passages = Passages([(r["item_id"], r["text"]) for r in items.distinct().collect()], window, tables, places, edits, free_end)  # at most item_chars characters
     shared = documents.sparkSession.sparkContext.broadcast(passages)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passages, hashes = shared.value, _Hashes()
         for frame in frames:
             out = []
-            for ids, docs in _blocks(frame["doc_id"].tolist(), frame["text"].tolist(), passages.window):
+            for ids, docs in _blocks(frame["doc_id"].tolist(), frame["text"].tolist(), passages.window, passages.edits if passages.free_end else 0):
                 of, starts = _starts(docs, passages.window)
                 out += [(ids[d], passages.items[i], at, start, far) for d, i, at, start, far in _verified(docs, of, starts, passages, hashes)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_start", "item_start", "edits"])
@@ -227,33 +235,33 @@ def found_passages(documents: DataFrame, items: DataFrame, edits: int = 0, windo
     return spread(documents).mapInPandas(run, FOUND)
 
 
-def _window_rows(df: DataFrame, key: str, window: int, tables: int, sample: int | None) -> DataFrame:
-    """``(key, owner, start, passage)`` of every window and table, for the join of two large sides."""
+def _window_rows(df: DataFrame, key: str, window: int, tables: int, sample: int | None, spare: int = 0) -> DataFrame:
+    """``(key, owner, start, passage)`` of every window and table, for the join of two large sides; passages have ``spare`` words more."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for frame in frames:
-            for ids, docs in _blocks(frame[key].tolist(), frame["text"].tolist(), window):
+            for ids, docs in _blocks(frame[key].tolist(), frame["text"].tolist(), window, spare):
                 flat = np.array([hashes[w] for d in docs for w in d], np.uint64)
                 of, starts = _starts(docs, window)
                 first = np.cumsum([0] + [len(d) for d in docs])[:-1]
                 within = starts - first[of]
-                text = [" ".join(docs[d][s : s + window]) for d, s in zip(of.tolist(), within.tolist(), strict=True)]
+                text = [" ".join(docs[d][s : s + window + spare]) for d, s in zip(of.tolist(), within.tolist(), strict=True)]
                 for table in range(tables):
                     yield pd.DataFrame({"key": window_keys(flat, starts, window, table, sample).view(np.int64), "owner": np.array(ids)[of], "start": within.astype(np.int32), "passage": text})
 
     return spread(df).mapInPandas(run, "key bigint, owner bigint, start int, passage string")
 
 
-def _joined_passages(documents: DataFrame, items: DataFrame, edits: int, window: int, tables: int, sample: int | None) -> DataFrame:
+def _joined_passages(documents: DataFrame, items: DataFrame, edits: int, window: int, tables: int, sample: int | None, free_end: bool = False) -> DataFrame:
     """The same meetings for an item side too large to broadcast. A passage that many share is joined once, as a class."""
-    left = _window_rows(documents, "doc_id", window, tables, sample)
+    left = _window_rows(documents, "doc_id", window, tables, sample, edits if free_end else 0)
     right = _window_rows(items, "item_id", window, tables, sample)
     pairs = left.select("key", F.col("passage").alias("a")).distinct().join(right.select("key", F.col("passage").alias("b")).distinct(), "key").select("a", "b").distinct()
 
     @F.pandas_udf("int")
     def far(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([edit_distance(x.split(" "), y.split(" "), edits) for x, y in zip(a, b, strict=True)], dtype="int32")
+        return pd.Series([edit_distance(y.split(" "), x.split(" "), edits, free_end) for x, y in zip(a, b, strict=True)], dtype="int32")
 
     close = pairs.withColumn("edits", far("a", "b")).where(F.col("edits") <= edits)
     in_docs = left.select(F.col("passage").alias("a"), F.col("owner").alias("doc_id"), F.col("start").alias("doc_start")).distinct()

@@ -18,9 +18,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold passages within one word edit, and how much of each item they cover."""
+    """Documents that hold passages within one word edit, be it a word replaced, inserted or dropped, and how much of each item they cover."""
     items = read_table(spark, d, "eval_items")
-    met = leaks.found_passages(read_table(spark, d, "documents"), items, edits=EDITS)
+    met = leaks.found_passages(read_table(spark, d, "documents"), items, edits=EDITS, free_end=True)
     covered = met.select("doc_id", "item_id", "edits", F.explode(F.sequence(F.col("item_start"), F.col("item_start") + (leaks.WINDOW - 1))).alias("word"))
     out = covered.groupBy("doc_id", "item_id").agg(F.countDistinct("word").alias("item_words"), F.min("edits").alias("least_edits"))
     return out.join(items.select("item_id", "test_set"), "item_id", "left").select("doc_id", "item_id", "test_set", "item_words", "least_edits")

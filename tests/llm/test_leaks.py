@@ -78,6 +78,43 @@ def test_recall_with_an_edit(spark):
         assert leaks.edit_distance(a, b, 2) == r["edits"] <= 2
 
 
+def _leaked(draw, i):
+    """An item, and documents that hold it with a word more or less in every eleven, or but for one word at their end."""
+    item = [f"v{draw.randrange(3000)}" for _ in range(21)]
+    return " ".join(item), [
+        ["before"] * 3 + item[:10] + ["other"] + item[10:20] + ["after"] * 3,
+        ["before"] * 3 + item[:10] + item[11:] + ["after"] * 3,
+        item[:10] + item[11:],  # nothing before or after it
+    ]
+
+
+def test_words_inserted_and_dropped_in_the_middle(spark, tmp_path):
+    from sonarmill.llm import leaks_queries
+
+    draw = random.Random(7)
+    texts = [_leaked(draw, i) for i in range(100)]
+    items = [(i, "set", text) for i, (text, _) in enumerate(texts)]
+    docs = [(3 * i + k, " ".join(body)) for i, (_, bodies) in enumerate(texts) for k, body in enumerate(bodies)]
+    spark.createDataFrame(items, "item_id bigint, test_set string, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = leaks_queries.p7_leaks(spark, str(tmp_path)).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in got}
+    assert pairs <= {(d, d // 3) for d, _ in docs} and {r["least_edits"] for r in got} == {1}
+    for k in range(3):
+        assert sum(d % 3 == k for d, _ in pairs) >= 0.95 * 100
+    d, i = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "eval_items"))
+    met = [sorted(tuple(r) for r in leaks.found_passages(d, i, edits=1, item_chars=chars, free_end=True).collect()) for chars in (leaks.ITEM_CHARS, 10)]
+    assert met[0] == met[1] and {r[:2] for r in met[0]} == pairs
+
+
+def test_free_end():
+    a = list("abcdef")
+    assert leaks.edit_distance(a, list("abcxdefg"), 1, True) == 1  # inserted
+    assert leaks.edit_distance(a, list("abdefg"), 1, True) == 1 and leaks.edit_distance(a, list("abdefg"), 1) == 2  # dropped
+    assert leaks.edit_distance(a, list("abcdefg"), 1, True) == 0 and leaks.edit_distance(a, list("abcde"), 1, True) == 1
+    assert leaks.edit_distance(a, list("abxdyf"), 1, True) == 2
+
+
 def test_edit_distance_and_tables():
     assert leaks.edit_distance(list("abcd"), list("abcd"), 1) == 0
     assert leaks.edit_distance(list("abcd"), list("abxd"), 1) == 1
