@@ -150,6 +150,13 @@ def p4_compacted(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p4_unplaced(spark: SparkSession, d: str) -> DataFrame:
+    """Of each table, how many rows name no file or slot and so have no place in the compacted result."""
+    features = compaction.records(read_table(spark, d, "train_feature_manifest"), keys.path_key("mfcc_path"), F.lit(0), keys.segment_key("segment_id"))
+    parts = [compaction.unplaced(rows).where("n_rows > 0").select(F.lit(table).alias("table_name"), "n_rows") for table, rows in (("train_feature_manifest", features), ("train_shard_manifest", _shard_records(spark, d)))]
+    return parts[0].unionByName(parts[1])
+
+
 # problem 5: references to files that are not there
 
 _FOLD = "^raw/urbansound8k/fold([^/]*)/"
@@ -204,7 +211,7 @@ def p5_by_month(spark: SparkSession, d: str) -> DataFrame:
     return out.select("table_name", F.date_format("period", "yyyy-MM").alias("month"), "orphans")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p1_weather, p1_microphones, p1_calibrations, p2_found, p2_group_results, p2_segment_results, p2_dataset_rollup, p4_found, p4_journal, p4_compacted, p5_found, p5_by_month)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p1_weather, p1_microphones, p1_calibrations, p2_found, p2_group_results, p2_segment_results, p2_dataset_rollup, p4_found, p4_journal, p4_compacted, p4_unplaced, p5_found, p5_by_month)}
 
 # oracle SQL
 

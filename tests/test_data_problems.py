@@ -181,6 +181,13 @@ def test_feature_files_are_compacted_too(spark, tmp_path):
     assert journal.where("table_name = 'train_shard_manifest'").count() == data_problems.p4_journal(spark, folder).where("table_name = 'train_shard_manifest'").count() > 0
 
 
+def test_unplaced_rows_are_reported(spark):
+    folder = "/root/testdata/sf0.01"
+    count = lambda table, path, slot: sum(not (r[0] or "").strip() or r[1] is None for r in spark.read.parquet(f"{folder}/{table}.parquet").selectExpr(path, slot).collect())
+    expected = [("train_feature_manifest", count("train_feature_manifest", "mfcc_path", "0")), ("train_shard_manifest", count("train_shard_manifest", "shard_path", "shard_index"))]
+    assert rows(data_problems.p4_unplaced(spark, folder)) == expected and min(n for _, n in expected) > 0
+
+
 def test_compact_directory_is_idempotent(spark, tmp_path, monkeypatch):
     source, out, journal = (str(tmp_path / x) for x in ("in", "out", "journal"))
     ids = lambda: rows(compaction.committed(spark, out, journal).select("id"))
