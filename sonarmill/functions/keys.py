@@ -23,8 +23,12 @@ def strip(c: Column | str) -> Column:
 
 
 def filled(c: Column) -> Column:
-    """Null instead of an empty text. ``nullif`` names its argument once, where a condition would work it out twice."""
-    return F.nullif(c, F.lit(""))
+    """Null instead of an empty text.
+
+    The argument is named once, where a condition would work it out twice. ``nullif`` does that too, but numbers its
+    argument anew in each branch of a plan, and equal branches are then no longer recognised and shared.
+    """
+    return F.get(F.array_remove(F.array(c), F.lit("")), F.lit(0))
 
 
 def split_name(c: Column | str) -> Column:

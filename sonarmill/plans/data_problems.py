@@ -114,6 +114,7 @@ def _shard_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the files, out of the inventory that the plan is made from."""
     wrong = compaction.audit(compaction.slots(_shard_records(spark, d)))
     item = F.concat_ws("#", "file", F.col("slot").cast("string"))
     repeated = compaction.repeated_files(read_table(spark, d, "train_feature_manifest"), keys.path_key("mfcc_path"))
@@ -131,7 +132,7 @@ _SMALL_FILES = {"train_feature_manifest": _feature_records, "train_shard_manifes
 
 
 def _file_plan(rows: DataFrame) -> DataFrame:
-    files = rows.where("file IS NOT NULL AND slot IS NOT NULL").distinct().groupBy("file").agg(F.count("*").alias("n_slots"))
+    files = compaction.file_sizes(compaction.inventory(compaction.slots(rows)))
     return compaction.plan(files.withColumn("part", F.regexp_extract("file", "^(.*)/", 1)), part="part")
 
 
@@ -244,6 +245,21 @@ _LABEL_TEXTS = """a AS MATERIALIZED (SELECT label_id, ltrim(label, chr(65279)) A
 b AS MATERIALIZED (SELECT label_id, CASE WHEN json_type(x) = 'VARCHAR' THEN ltrim(json_extract_string(x, '$'), chr(65279)) ELSE x END AS x FROM a WHERE json_valid(x)),
 t AS MATERIALIZED (SELECT label_id, x::JSON AS v, -1 AS pos FROM b WHERE json_valid(x) AND json_type(CASE WHEN json_valid(x) THEN x END) = 'OBJECT')"""
 
+_PLAN_SQL = f"""WITH RECURSIVE features AS (SELECT DISTINCT {sql.path_key('mfcc_path')} AS p FROM train_feature_manifest),
+rec AS MATERIALIZED (SELECT 'train_feature_manifest' AS tab, p AS file, 0 AS slot, p AS record FROM features WHERE p IS NOT NULL
+UNION ALL SELECT DISTINCT 'train_shard_manifest', {sql.path_key('shard_path')}, shard_index, {_SEGMENT} FROM train_shard_manifest WHERE {sql.path_key('shard_path')} IS NOT NULL AND shard_index IS NOT NULL),
+files AS (SELECT tab, file, count(*) AS n, regexp_extract(file, '^(.*)/', 1) AS part FROM rec GROUP BY 1, 2),
+small AS (SELECT *, CAST(floor(log2(n)) AS INT) AS tier FROM files WHERE n * 2 < 256),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tab, part, tier ORDER BY md5(file), file) - 1 AS r, 256 // max(n) OVER (PARTITION BY tab, tier) AS due FROM small),
+packs AS (SELECT *, count(*) OVER (PARTITION BY tab, part, tier, r // due) AS inputs FROM ranked),
+lone AS MATERIALIZED (SELECT tab, part, file, n, row_number() OVER (PARTITION BY tab, part ORDER BY n, file) AS i FROM packs WHERE inputs < due),
+fit AS (SELECT tab, part, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS file, CAST(0 AS BIGINT) AS n, 0 AS pack, CAST(0 AS BIGINT) AS fill FROM (SELECT DISTINCT tab, part FROM lone)
+UNION ALL SELECT l.tab, l.part, l.i, l.file, l.n, CASE WHEN f.fill + l.n > 256 THEN f.pack + 1 ELSE f.pack END, CASE WHEN f.fill + l.n > 256 THEN l.n ELSE f.fill + l.n END FROM fit f JOIN lone l ON l.tab = f.tab AND l.part = f.part AND l.i = f.i + 1),
+grouped AS (SELECT tab, part, file, n, tier AS level, 't' || tier || '.' || (r // due) AS pack FROM packs WHERE inputs = due
+UNION ALL SELECT tab, part, file, n, 8, 'r' || pack FROM fit WHERE i > 0),
+merged AS (SELECT tab, part, file, n, level, count(*) OVER p AS inputs, sum(n) OVER p AS total, min(file) OVER p AS first, sum(n) OVER (PARTITION BY tab, part, level, pack ORDER BY file) - n AS start FROM grouped WINDOW p AS (PARTITION BY tab, part, level, pack)),
+txn AS MATERIALIZED (SELECT *, sha256(level || '|' || part || '|' || first || '|' || CAST(total AS BIGINT) || '|' || inputs) AS id FROM merged WHERE inputs > 1)"""
+
 ORACLE = {
     "p1_found": f"""WITH {_LABEL_TEXTS}, w AS ({_children_sql('t', 'weather_data')}), wm AS ({_children_sql('w', 'measurements')}), lm AS ({_children_sql('t', 'measurements')}),
 ma AS ({_children_sql('t', 'microphone_array')}), mi AS ({_children_sql('ma', 'microphones')}), ca AS ({_children_sql('mi', 'calibrations', 's.pos')})
@@ -259,6 +275,10 @@ SELECT 'small_shard' AS kind, p AS item FROM ends WHERE n < 64
 UNION ALL SELECT 'lost_index', e.p || '#' || e.i FROM (SELECT p, unnest(range(0, top + 1)) AS i FROM ends) e ANTI JOIN held h ON h.p = e.p AND h.i = e.i
 UNION ALL SELECT 'taken_twice', p || '#' || i FROM held GROUP BY p, i HAVING count(DISTINCT s) > 1
 UNION ALL SELECT 'repeated_file', p FROM mf WHERE p IS NOT NULL GROUP BY p HAVING count(*) > 1""",
+    "p4_journal": _PLAN_SQL + """ SELECT tab AS table_name, id AS txn_id, CAST(any_value(level) AS INT) AS level, any_value(part) AS part, count(*) AS n_inputs, CAST(sum(n) AS BIGINT) AS n_records, sha256(string_agg(file, '|' ORDER BY file)) AS inputs_digest FROM txn GROUP BY 1, 2""",
+    "p4_compacted": _PLAN_SQL + """ SELECT rec.tab AS table_name, record, rec.file, slot, coalesce(id, rec.file) AS new_file, CAST(coalesce(start, 0) + row_number() OVER (PARTITION BY rec.tab, rec.file ORDER BY slot, record NULLS FIRST) - 1 AS BIGINT) AS new_slot FROM rec LEFT JOIN txn ON txn.tab = rec.tab AND txn.file = rec.file""",
+    "p4_unplaced": f"""SELECT 'train_feature_manifest' AS table_name, count(*) AS n_rows FROM train_feature_manifest WHERE {sql.path_key('mfcc_path')} IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'train_shard_manifest', count(*) FROM train_shard_manifest WHERE {sql.path_key('shard_path')} IS NULL OR shard_index IS NULL HAVING count(*) > 0""",
     "p5_found": _ORPHANS_SQL + """ SELECT table_name, row_key FROM o
 UNION ALL SELECT 'background_manifest_summary', s.run_id FROM background_manifest_summary s WHERE missing_audio_files IS NOT NULL AND missing_audio_files <> (SELECT count(*) FROM o WHERE o.table_name = 'background_annotations' AND o.run_id = s.run_id)""",
     "p5_by_month": _ORPHANS_SQL + """ SELECT table_name, strftime(t, '%Y-%m') AS month, count(*) AS orphans FROM o GROUP BY 1, 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import random
 from collections import Counter
 
@@ -144,21 +145,40 @@ def test_shard_audit(spark):
         compaction.audit(held, 3)
 
 
+def test_a_wild_slot_and_stretches(spark):
+    last = 3 * (1 << compaction.STRETCH_BITS) + 7
+    held = compaction.slots(_shards(spark, [("w", 0, "a"), ("w", 70_000, "b"), ("w", last, "c"), ("x", 1, "d"), ("x", 1, "e")]))
+    lost = compaction.audit(held, 1).where("kind = 'lost_index' AND file = 'w'")
+    assert lost.count() == lost.select("slot").distinct().count() == last - 2 and lost.where("slot IN (0, 70000)").count() == 0
+    assert rows(compaction.file_sizes(compaction.inventory(held))) == [("w", 3, 3), ("x", 1, 2)]
+
+
 def test_plan_fills_files_and_keeps_every_record(spark):
     draw = random.Random(11)
     data = [(f"s{i % 2}/f{i:03}", s, f"r{i}.{s}") for i in range(120) for s in range(draw.choice([1, 2, 3, 5, 8, 13, 30, 60, 100, 200, 256]))]
+    data.append(("s0/f000", 1 << 20, "far"))  # in another stretch of its file
     records = _shards(spark, data + data[:50])
-    files = records.distinct().groupBy("file").agg(F.count("*").alias("n_slots")).withColumn("part", F.substring("file", 1, 2))
-    plan = compaction.plan(files, part="part", buckets=4)
+    files = records.distinct().groupBy("file").agg(F.count("*").alias("n_records")).withColumn("part", F.substring("file", 1, 2))
+    plan = compaction.plan(files, part="part")
     assert plan.count() == 120 and plan.select("file").distinct().count() == 120
     moved = compaction.relocate(records, plan)
     assert Counter(r["record"] for r in moved.collect()) == Counter(x[2] for x in data)
-    sizes = moved.groupBy("new_file").agg(F.count("*").alias("n"), F.max("new_slot").alias("last"), F.countDistinct(F.substring("file", 1, 2)).alias("parts"))
-    assert all(r["n"] <= 256 and r["last"] == r["n"] - 1 and r["parts"] == 1 for r in sizes.collect())
-    assert sizes.where("n < 128").count() <= 4 < files.where("n_slots < 128").count()
-    again = compaction.plan(files.repartition(7), part="part", buckets=4)
+    sizes = moved.groupBy("new_file").agg(F.count("*").alias("n"), F.max("new_slot").alias("last"), F.countDistinct("new_slot").alias("slots"), F.min(F.substring("file", 1, 2)).alias("part"), F.countDistinct(F.substring("file", 1, 2)).alias("parts"))
+    assert all(r["n"] <= 256 and r["last"] == r["n"] - 1 and r["slots"] == r["n"] and r["parts"] == 1 for r in sizes.collect())
+    assert all(r["count"] <= 1 for r in sizes.where("n < 128").groupBy("part").count().collect())
+    again = compaction.plan(files.repartition(7), part="part")
     assert rows(compaction.journal(plan)) == rows(compaction.journal(again))
     assert compaction.plan(files.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        compaction.plan(files, target=100)
+
+
+def test_many_files_of_one_size_leave_none_alone(spark):
+    files = spark.range(20_000).select(F.format_string("f%05d", "id").alias("file"), F.lit(100).alias("n_records"))
+    sizes = Counter(r["n"] for r in compaction.journal(compaction.plan(files)).select(F.col("n_inputs").alias("n")).collect())
+    assert sizes == {2: 10_000}
+    few = compaction.plan(files.limit(9).withColumn("n_records", F.lit(1)), fan=4, rest=False)
+    assert sorted(r["n_inputs"] for r in compaction.journal(few).collect()) == [4, 4] and few.where("output IS NULL").count() == 1
 
 
 def test_feature_files_are_compacted_too(spark, tmp_path):
@@ -188,30 +208,50 @@ def test_unplaced_rows_are_reported(spark):
     assert rows(data_problems.p4_unplaced(spark, folder)) == expected and min(n for _, n in expected) > 0
 
 
+def _all_ids(spark, source, out, journal):
+    there = [compaction._readable(r["file"]) for r in compaction.waiting_files(spark, source, journal).collect()]
+    done = [r["id"] for r in compaction.consolidated(spark, out, journal).select("id").collect()] if compaction._folders(spark, out) else []
+    return sorted(done + ([r["id"] for r in spark.read.parquet(*there).collect()] if there else []))
+
+
 def test_compact_directory_is_idempotent(spark, tmp_path, monkeypatch):
-    source, out, journal = (str(tmp_path / x) for x in ("in", "out", "journal"))
-    ids = lambda: rows(compaction.committed(spark, out, journal).select("id"))
-    run = lambda: compaction.compact_directory(spark, source, out, journal, target_bytes=1 << 20)
-    spark.range(1000).repartition(40).write.parquet(source)
-    assert run() >= 1 and ids() == [(i,) for i in range(1000)]
-    assert len(compaction.committed(spark, out, journal).inputFiles()) < 10
-    before = spark.read.parquet(journal).count()
-    assert run() == 0 and spark.read.parquet(journal).count() == before
+    source, out, journal = (str(tmp_path / x) for x in ("in put", "out", "journal"))
+    run = lambda **k: compaction.compact_directory(spark, source, out, journal, target_bytes=1 << 20, **k)
+    files = lambda: len([f for f in os.listdir(out) if f.startswith("__")])
+    spark.range(1000).repartition(30).write.parquet(source)
+    assert run() >= 1 and _all_ids(spark, source, out, journal) == list(range(1000)) and files() <= 2 * compaction.FAN
+    before = compaction.read_journal(spark, journal).count()
+    assert run() == 0 and compaction.read_journal(spark, journal).count() == before
     # later files, and a run that breaks off after it has written records but before it commits them
     spark.range(1000, 1500).repartition(10).write.mode("append").parquet(source)
     carry = compaction._carry_out
 
-    def broken(data, txns, *more):
-        carry(data, txns, out, str(tmp_path / "lost"))
+    def broken(session, txns, *more):
+        carry(session, txns, out, str(tmp_path / "lost"))
         raise RuntimeError("lost")
 
     monkeypatch.setattr(compaction, "_carry_out", broken)
     with pytest.raises(RuntimeError):
         run()
-    assert ids() == [(i,) for i in range(1000)]
+    assert _all_ids(spark, source, out, journal) == list(range(1500))
     monkeypatch.setattr(compaction, "_carry_out", carry)
-    spark.range(1500, 1600).repartition(5).write.mode("append").parquet(source)
-    assert run() >= 2 and ids() == [(i,) for i in range(1600)] and run() == 0
+    spark.range(1500, 1600).withColumn("more", F.lit("x")).repartition(5).write.mode("append").parquet(source)
+    assert run() >= 2 and _all_ids(spark, source, out, journal) == list(range(1600)) and run() == 0
+    assert run(finish=True) == 1 and files() == 1 and compaction.waiting_files(spark, source, journal).count() == 0
+    assert compaction.consolidated(spark, out, journal).where("more = 'x'").count() == 100
+    assert run(finish=True) == 0
+
+
+def test_runs_with_one_small_file_each_end_in_few_files(spark, tmp_path, monkeypatch):
+    source, out, journal = (str(tmp_path / x) for x in ("in", "out", "journal"))
+    monkeypatch.setattr(compaction, "JOURNAL_FILES", 4)
+    txns = 0
+    for i in range(11):
+        spark.range(5 * i, 5 * i + 5).coalesce(1).write.mode("append").parquet(source)
+        txns += compaction.compact_directory(spark, source, out, journal, target_bytes=1 << 16, fan=3)
+    assert _all_ids(spark, source, out, journal) == list(range(55))
+    waiting, written = compaction.waiting_files(spark, source, journal).count(), len([f for f in os.listdir(out) if f.startswith("__")])
+    assert waiting < 3 and written <= 4 and 3 <= txns <= 6 and len(os.listdir(journal)) <= 6
 
 
 # problem 5
