@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sonarmill.operators.prefix import share_of
 
-#: Identifiers that are searched for in texts are broadcast up to so many characters in all.
+#: Identifiers that are searched for in texts go to the workers in blocks of so many characters.
 ID_CHARS = 16_000_000
 
 
@@ -93,27 +93,43 @@ def repeated(df: DataFrame, column: str) -> DataFrame:
     return df.join(counts, column, "left").withColumn("is_repeated", F.coalesce("is_repeated", F.lit(False)))
 
 
-def texts_with_ids(df: DataFrame, key: str, text: str, ids: list[str]) -> DataFrame:
-    """``(key, id)`` for each text that contains an id in any case, each pair once. All ids are sought in one pass."""
-    if sum(map(len, ids)) > ID_CHARS:
-        raise ValueError("too many identifiers for one pass; search in blocks")
+def texts_with_ids(df: DataFrame, key: str, text: str, ids: Sequence[str], block_chars: int = ID_CHARS) -> DataFrame:
+    """``(key, id)`` for each text that contains an id in any case, each pair once.
+
+    All ids of a block are sought in one pass; more than ``block_chars`` characters of ids make several blocks and passes.
+    """
     wanted = sorted({x for x in ids if x})
+    if not wanted:
+        return df.select(F.col(key), F.lit("").alias("id")).where("false")
+    blocks: list[list[str]] = [[]]
+    size = 0
+    for x in wanted:
+        if blocks[-1] and size + len(x) > block_chars:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(x)
+        size += len(x)
     kind = dict(df.dtypes)[key]
+    out = None
+    for block in blocks:
+        found = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(_searcher(block), f"k {kind}, id string")
+        out = found if out is None else out.unionByName(found)
+    return out.withColumnRenamed("k", key)
 
+
+def _searcher(wanted: list[str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for x in wanted:
-            automaton.add_word(x.lower(), x.lower())
         spelt: dict[str, list[str]] = {}
         for x in wanted:
             spelt.setdefault(x.lower(), []).append(x)
+        for low in spelt:
+            automaton.add_word(low, low)
         automaton.make_automaton()
         for frame in frames:
             rows = [(k, x) for k, t in zip(frame["k"], frame["t"], strict=True) if t for low in {found for _, found in automaton.iter(t.lower())} for x in spelt[low]]
             yield pd.DataFrame(rows, columns=["k", "id"])
 
-    if not wanted:
-        return df.select(F.col(key), F.lit("").alias("id")).where("false")
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, id string").withColumnRenamed("k", key)
+    return run

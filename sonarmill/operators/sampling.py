@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonarmill.operators.prefix import ordered_totals, quantiles
+
 LEAST_HARD, MOST_HARD, STRENGTH, BALANCED, MOMENTUM = 0.5, 2.0, 0.25, 0.90, 0.85
 PATIENCE, MIN_DELTA = 15, 1e-4
 
@@ -21,7 +23,7 @@ def hard_weights(df: DataFrame, hardness: str) -> DataFrame:
     h = F.col(hardness)
     known = F.greatest(F.lit(1e-8), F.when(h.isNull() | F.isnan(h) | h.isin(float("inf"), float("-inf")), 1.0).otherwise(h))
     rows = df.withColumn("__h", known)
-    median = rows.select(F.median("__h").alias("m")).select(F.when(F.col("m") <= 1e-8, 1.0).otherwise(F.col("m")).alias("m")).scalar()
+    median = quantiles(rows.select("__h"), [], "__h", {"m": 0.5}).select(F.when(F.col("m") <= 1e-8, 1.0).otherwise(F.col("m")).alias("m")).scalar()
     rows = rows.withColumn("__w", F.pow(F.greatest(F.lit(LEAST_HARD), F.least(F.lit(MOST_HARD), F.col("__h") / median)), F.lit(STRENGTH)))
     return rows.withColumn("hard", F.col("__w") / rows.select(F.sum("__w").alias("s")).scalar()).drop("__h", "__w")
 
@@ -31,26 +33,34 @@ def blended_weights(df: DataFrame, label: str, hardness: str, share: float = BAL
     return rows.withColumn("probability", F.col("__p") / rows.select(F.sum("__p").alias("s")).scalar()).drop("__p")
 
 
-def draw_with_replacement(df: DataFrame, probability: str, draws: int, seed: int = 42) -> DataFrame:
-    """``times``: how often each row is drawn in about ``draws`` draws; rows never drawn are left out.
+#: Probabilities are counted in units of this size, so that sums are whole numbers and the same in every layout.
+UNITS = 1 << 48
+#: Stretches of the summed weight that draws and rows are matched in.
+STRETCHES = 1 << 14
+
+
+def draw_with_replacement(df: DataFrame, key: str, probability: str, draws: int, seed: int = 42) -> DataFrame:
+    """``(key, times)``: how often each row is drawn in exactly ``draws`` draws; rows never drawn are left out.
 
-    Every row draws its own count from the Poisson law with mean draws x probability, by inverting its distribution on a
-    seeded uniform number; given their total such counts are those of drawing with replacement. No row needs another.
+    ``key`` is a unique bigint. Rows lie behind each other in its order, each as long as its probability; draw i has a
+    point, a digest of seed and i, and takes the row that the point lies in. So the result depends on nothing but the
+    rows, the seed and the number of draws. Rows without a positive probability are never drawn; without any, none is.
     """
-    u, mean = F.rand(seed), F.col(probability) * draws
-    steps = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda k: k)
-    start = F.struct(F.lit(0).alias("k"), F.exp(-F.least(mean, F.lit(500.0))).alias("p"), F.exp(-F.least(mean, F.lit(500.0))).alias("cdf"))
-
-    def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * F.col("__mean") / (acc["k"] + 1)
-        return F.when(acc["cdf"] >= F.col("__u"), acc).otherwise(F.struct((acc["k"] + 1).alias("k"), p.alias("p"), (acc["cdf"] + p).alias("cdf")))
-
-    small = F.aggregate(steps, start, step)["k"]
-    # far from 0 the normal law is as good
-    z = F.sqrt(-2 * F.log(F.greatest(F.col("__u"), F.lit(1e-12)))) * F.cos(F.lit(6.283185307179586) * F.rand(seed + 1))
-    large = F.greatest(F.lit(0), F.round(F.col("__mean") + z * F.sqrt("__mean")).cast("int"))
-    rows = df.withColumns({"__u": u, "__mean": mean})
-    return rows.withColumn("times", F.when(F.col("__mean") <= 20, small).otherwise(large)).drop("__u", "__mean").where("times > 0")
+    units = F.floor(F.col(probability) * UNITS).cast("bigint")
+    rows = df.select(F.col(key).cast("bigint").alias("key"), units.alias("units")).where("key IS NOT NULL AND units > 0")
+    placed = ordered_totals(rows, [], F.shiftright("key", 16), [F.col("key")], {"upto": F.col("units")}).select("key", (F.col("upto") - F.col("units")).alias("at"))
+    total = rows.agg(F.sum("units").alias("n")).scalar()
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("bigint")
+    points = df.sparkSession.range(draws).select(F.lit(None).cast("bigint").alias("key"), (drawn % total).alias("at")).where("at IS NOT NULL")
+    width = F.floor(total / STRETCHES) + 1
+    both = placed.withColumn("kind", F.lit(0)).unionByName(points.withColumn("kind", F.lit(1))).withColumn("stretch", F.floor(F.col("at") / width))
+    # the row that reaches into a stretch from an earlier one: a table of at most STRETCHES rows
+    last = both.groupBy("stretch").agg(F.max_by("key", F.when(F.col("kind") == 0, F.col("at"))).alias("last"))
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("stretch", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    upto = Window.partitionBy("stretch").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = both.withColumn("row", F.last("key", ignorenulls=True).over(upto)).where("kind = 1").join(F.broadcast(carried), "stretch")
+    return hit.groupBy(F.coalesce("row", "carried").alias(key)).agg(F.count("*").alias("times"))
 
 
 def updated_hardness(df: DataFrame, old: str, loss_sum: str, seen: str, momentum: float = MOMENTUM) -> DataFrame:

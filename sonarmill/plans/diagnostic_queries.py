@@ -153,8 +153,9 @@ def sampler_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weighted_draw(spark: SparkSession, d: str) -> DataFrame:
+    """As many draws as there are rows, by their blended probability."""
     rows = _losses(spark, d).select("row_seq", "binary_label", "loss")
-    return sampling.draw_with_replacement(sampling.blended_weights(rows, "binary_label", "loss"), "probability", rows.count()).select("row_seq", "times")
+    return sampling.draw_with_replacement(sampling.blended_weights(rows, "binary_label", "loss"), "row_seq", "probability", rows.count())
 
 
 def hardness_update(spark: SparkSession, d: str) -> DataFrame:
@@ -182,6 +183,8 @@ def _shares(group: str, source: str, tops: tuple[int, ...]) -> str:
 
 _T = f", t AS (SELECT recording FROM e WHERE kind = 'FP' GROUP BY 1 ORDER BY count(*) DESC, recording LIMIT {TARGETS})"
 _L = ", l AS (SELECT *, -ln(greatest(1e-12, CASE WHEN binary_label = 1 THEN score ELSE 1 - score END)) AS loss FROM s WHERE binary_label IS NOT NULL)"
+_WEIGHTS = f"WITH {_A}{_L}, b AS (SELECT row_seq, binary_label, greatest(1e-8, loss) AS h, 1 / (count(*) OVER (PARTITION BY binary_label) * 2.0::DOUBLE) AS balanced FROM l), m AS (SELECT median(h) AS m FROM b), w AS (SELECT row_seq, balanced, pow(greatest(0.5, least(2.0, h / m)), 0.25) AS w FROM b, m), n AS (SELECT row_seq, balanced, w / sum(w) OVER () AS hard FROM w), p AS (SELECT *, 0.9::DOUBLE * balanced + (1 - 0.9::DOUBLE) * hard AS p FROM n)"
+
 ORACLE = {
     "error_lineage": f"WITH {_E}, m AS (SELECT DISTINCT ON (segment) {sql.segment_key('segment_id')} AS segment, {sql.path_key('shard_path')} AS shard, shard_index, row_seq AS manifest_row FROM train_shard_manifest WHERE {sql.segment_key('segment_id')} IS NOT NULL ORDER BY segment, row_seq) SELECT e.row_seq, e.segment, kind, shard, shard_index, manifest_row FROM e LEFT JOIN m ON e.segment = m.segment",
     "error_full_outer": f"WITH {_E}, p AS (SELECT recording, count(*) AS n FROM e WHERE kind = 'FP' GROUP BY 1), q AS (SELECT recording, count(*) AS n FROM e WHERE kind = 'FN' GROUP BY 1) SELECT coalesce(p.recording, q.recording) AS recording, coalesce(p.n, 0) AS false_positives, coalesce(q.n, 0) AS false_negatives, coalesce(p.n, 0) + coalesce(q.n, 0) AS total_errors FROM p FULL JOIN q ON p.recording = q.recording",
@@ -201,6 +204,15 @@ ORACLE = {
     "hard_topk": f"WITH {_A}{_L}, u AS (SELECT 'overall' AS part, * FROM l UNION ALL SELECT CASE binary_label WHEN 1 THEN 'drone' ELSE 'background' END, * FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY loss DESC, row_seq) AS place FROM u) SELECT part, place, row_seq, segment, round(loss, 9) AS loss FROM r WHERE place <= 20",
     "lineage_full_outer": f"WITH f AS (SELECT {sql.segment_key('segment_id')} AS segment, row_seq, status FROM train_feature_manifest), a AS (SELECT segment, arg_min(status, row_seq) AS status, count(*) AS n_features FROM f WHERE segment IS NOT NULL GROUP BY 1), b AS (SELECT {sql.segment_key('segment_id')} AS segment, count(*) AS n_segments FROM train_segments WHERE {sql.segment_key('segment_id')} IS NOT NULL GROUP BY 1) SELECT coalesce(a.segment, b.segment) AS segment, status, n_features, n_segments FROM a FULL JOIN b ON a.segment = b.segment",
     "feature_health": "WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS f FROM embeddings), r AS (SELECT vec_id, list_max(list_transform(f, lambda v: abs(v))) AS m, list_min([list_stddev_pop(f[1:16]), list_stddev_pop(f[17:32]), list_stddev_pop(f[33:48]), list_stddev_pop(f[49:64])]) AS s, list_transform(f, lambda v: printf('%.2f', v)) AS h FROM x) SELECT vec_id, round(m, 6) AS max_abs, round(s, 6) AS min_channel_std, false AS non_finite, m > 15 AND s < 1e-3 AS blow_up, count(*) OVER (PARTITION BY h) > 1 AS is_repeated FROM r",
-    "sampler_weights": f"WITH {_A}{_L}, b AS (SELECT row_seq, binary_label, greatest(1e-8, loss) AS h, 1 / (count(*) OVER (PARTITION BY binary_label) * 2.0::DOUBLE) AS balanced FROM l), m AS (SELECT median(h) AS m FROM b), w AS (SELECT row_seq, balanced, pow(greatest(0.5, least(2.0, h / m)), 0.25) AS w FROM b, m), n AS (SELECT row_seq, balanced, w / sum(w) OVER () AS hard FROM w), p AS (SELECT *, 0.9::DOUBLE * balanced + (1 - 0.9::DOUBLE) * hard AS p FROM n) SELECT row_seq, round(balanced * 1e6, 6) AS balanced, round(hard * 1e6, 6) AS hard, round(p / sum(p) OVER () * 1e6, 6) AS probability FROM p",
+    "sampler_weights": f"{_WEIGHTS} SELECT row_seq, round(balanced * 1e6, 6) AS balanced, round(hard * 1e6, 6) AS hard, round(p / sum(p) OVER () * 1e6, 6) AS probability FROM p",
+    "weighted_draw": f"""{_WEIGHTS}, u AS (SELECT row_seq, CAST(floor(p / sum(p) OVER () * 281474976710656) AS BIGINT) AS u FROM p), a AS MATERIALIZED (SELECT row_seq, sum(u) OVER (ORDER BY row_seq) - u AS at FROM u WHERE u > 0),
+x AS (SELECT ('0x' || left(md5('42|' || i), 15))::BIGINT % (SELECT sum(u) FROM u) AS at FROM range((SELECT count(*) FROM l)) r(i))
+SELECT a.row_seq, count(*) AS times FROM x ASOF JOIN a ON x.at >= a.at GROUP BY 1""",
+    "training_stop": """WITH RECURSIVE h AS (SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS epoch, avg(CASE WHEN value < 20 THEN 1.0::DOUBLE ELSE 0 END) AS f1, avg(value) AS loss FROM events GROUP BY 1, 2),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch) AS i FROM h),
+s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, -1.0::DOUBLE AS best, CAST(NULL AS INT) AS at, 0 AS idle, 'inf'::DOUBLE AS loss, CAST(NULL AS INT) AS stop FROM o
+UNION ALL SELECT user_id, i, CASE WHEN better THEN greatest(best, f1) ELSE best END, CASE WHEN better THEN epoch ELSE at END, CASE WHEN better THEN 0 ELSE idle + 1 END, loss, CASE WHEN NOT better AND idle + 1 >= 15 THEN epoch END
+FROM (SELECT s.user_id, o.i, s.best, s.at, s.idle, o.epoch, o.f1, o.loss, o.f1 > s.best + 1e-4 OR (abs(o.f1 - s.best) <= 1e-4 AND o.loss < s.loss) AS better FROM s JOIN o ON o.user_id = s.user_id AND o.i = s.i + 1 WHERE s.stop IS NULL))
+SELECT user_id, round(arg_max(best, i), 9) AS best_f1, arg_max(at, i) AS best_epoch, arg_max(idle, i) AS idle_epochs, max(stop) AS stopped_at FROM s GROUP BY 1""",
     "hardness_update": f"WITH {_A}{_L}, m AS (SELECT segment, row_seq % 7 AS epoch, avg(loss) AS x FROM l GROUP BY 1, 2), o AS (SELECT segment, x, row_number() OVER (PARTITION BY segment ORDER BY epoch DESC) - 1 AS later, count(*) OVER (PARTITION BY segment) AS k FROM m) SELECT segment, round(pow(0.85::DOUBLE, max(k)) + sum((1 - 0.85::DOUBLE) * pow(0.85::DOUBLE, later) * x), 9) AS hardness FROM o GROUP BY 1",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarmill.operators import metrics
+from sonarmill.operators import metrics, prefix
 from sonarmill.session import read_table
 
 THRESHOLD = 0.5
@@ -88,7 +88,9 @@ def error_probabilities(spark: SparkSession, d: str) -> DataFrame:
 def hardness_stats(spark: SparkSession, d: str) -> DataFrame:
     """Cross-entropy per class: mean, median, 90th percentile and largest."""
     loss = -F.log(F.greatest(F.lit(1e-12), F.when(F.col("label") == 1, F.col("score")).otherwise(1 - F.col("score"))))
-    return _rounded(predictions(spark, d).withColumn("loss", loss).groupBy("label").agg(F.avg("loss").alias("mean_loss"), F.median("loss").alias("median_loss"), F.percentile("loss", 0.9).alias("p90_loss"), F.max("loss").alias("max_loss")))
+    rows = predictions(spark, d).withColumn("loss", loss)
+    ends = rows.groupBy("label").agg(F.avg("loss").alias("mean_loss"), F.max("loss").alias("max_loss"))
+    return _rounded(ends.join(prefix.quantiles(rows, ["label"], "loss", {"median_loss": 0.5, "p90_loss": 0.9}), "label"))
 
 
 _P = "p AS (SELECT event_id AS seq, user_id AS recording, (value + 0.0) / ((value + 0.0) + 50) AS score, CAST(event_type = 'error' AS INT) AS label FROM events)"

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sonarmill.functions import dsp, parsing, signals
-from sonarmill.operators import diagnostics, manifests, metrics, sampling, scoring, segmentation
+from sonarmill.operators import diagnostics, manifests, metrics, prefix, sampling, scoring, segmentation
 
 
 def rows(df):
@@ -173,6 +177,7 @@ def test_health_and_ids_in_texts(spark):
     texts = spark.createDataFrame([(1, "see ABC and abcd"), (2, None), (3, "nothing"), (4, "xabcdx xabcdx")], "k int, t string")
     assert rows(diagnostics.texts_with_ids(texts, "k", "t", ["abc", "abcd", ""])) == [(1, "abc"), (1, "abcd"), (4, "abc"), (4, "abcd")]
     assert diagnostics.texts_with_ids(texts, "k", "t", []).count() == 0
+    assert rows(diagnostics.texts_with_ids(texts, "k", "t", ["abc", "abcd", "noth"], block_chars=3)) == [(1, "abc"), (1, "abcd"), (3, "noth"), (4, "abc"), (4, "abcd")]
 
 
 # sampling
@@ -182,11 +187,28 @@ def test_weights_and_draws(spark):
     df = spark.createDataFrame([(i, int(i < 20), float("nan") if i == 3 else 0.1 * i) for i in range(100)], "i int, y int, h double")
     w = sampling.blended_weights(df, "y", "h")
     assert w.agg(F.sum("probability")).first()[0] == pytest.approx(1) and w.where("y = 1").agg(F.sum("balanced")).first()[0] == pytest.approx(0.5)
-    drawn = sampling.draw_with_replacement(w, "probability", 20_000)
-    total = drawn.agg(F.sum("times")).first()[0]
-    assert total == pytest.approx(20_000, rel=0.05) and drawn.where("y = 1").agg(F.sum("times")).first()[0] / total == pytest.approx(0.45 + 0.1 * w.where("y = 1").agg(F.sum("hard")).first()[0], abs=0.03)
-    few = sampling.draw_with_replacement(w, "probability", 100).agg(F.sum("times")).first()[0]
-    assert 60 < few < 140
+    draw = lambda df, n: {r["i"]: r["times"] for r in sampling.draw_with_replacement(df, "i", "probability", n).collect()}
+    drawn = draw(w, 20_000)
+    assert sum(drawn.values()) == 20_000 and draw(w.repartition(7), 20_000) == drawn
+    assert sum(n for i, n in drawn.items() if i < 20) / 20_000 == pytest.approx(0.45 + 0.1 * w.where("y = 1").agg(F.sum("hard")).first()[0], abs=0.02)
+    assert sum(draw(w, 100).values()) == 100 and draw(w.where("false"), 50) == {} and draw(w.withColumn("probability", F.lit(0.0)), 5) == {}
+    # by brute force: the row whose stretch of the summed weight has the point
+    rows = sorted((r["i"], int(r["probability"] * sampling.UNITS)) for r in w.collect())
+    ends = list(itertools.accumulate(n for _, n in rows))
+    points = [int(hashlib.md5(f"42|{i}".encode()).hexdigest()[:15], 16) % ends[-1] for i in range(20_000)]
+    assert drawn == Counter(rows[bisect.bisect_right(ends, x)][0] for x in points)
+
+
+def test_quantiles(spark):
+    draw = random.Random(2)
+    data = [(g, v) for g in "ab" for v in [draw.choice([draw.gauss(0, 1), 1e300, -1e-300, 0.0, -0.5, draw.random() * 1e-9]) for _ in range(301)]] + [("a", None), ("c", 3.5), ("d", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = prefix.quantiles(df, ["g"], "v", {"m": 0.5, "p": 0.9}).collect()
+    assert sorted(r["g"] for r in got) == ["a", "b", "c"]
+    for r in got:
+        own = [v for g, v in data if g == r["g"] and v is not None]
+        assert (r["m"], r["p"]) == pytest.approx(tuple(np.quantile(own, [0.5, 0.9])))
+    assert prefix.quantiles(df.where("false"), [], "v", {"m": 0.5}).count() <= 1
 
 
 def test_hardness_and_stopping(spark):
