@@ -4,7 +4,7 @@ A profile lists the most frequent character n-grams of a language in order of ra
 out-of-place distance: over the text's own most frequent n-grams, how far each stands from its rank in the profile,
 with the profile's length for those it lacks, divided by the greatest possible distance.
 
-Profiles are trained on labelled documents, at most ``SAMPLE_DOCS`` of a language, taken by hash. Labels may be wrong
+Profiles are trained on distinct labelled texts, at most ``SAMPLE_DOCS`` of a language, taken by hash. Labels may be wrong
 and texts mixed, so they are trained twice: the first profiles mark the stretches of the sample, and the second are
 made from the stretches that agree with their label.
 
@@ -22,8 +22,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -51,10 +49,12 @@ PROFILE = 4000
 TEXT_PROFILE = 300
 SIZES = (1, 2, 3, 4)
 PIECE = 4000
+#: Texts that are judged at once, and words times texts that are decoded at once.
+BATCH, BLOCK_CELLS = 1024, 200_000
 #: Cost of a change of language inside a sentence and at its end, in units of a word's log place.
 CHANGE, CHANGE_AT_END = 6.0, 2.0
 _END = re.compile(r"[.!?;:\n()\"“”«»]")
-_MARKUP = re.compile(r"<[^<>]{0,300}>|&#?[a-zA-Z0-9]{1,10};|https?://\S+")
+_MARKUP = re.compile(r"<[!/]?[a-zA-Z][^<>]{0,300}>|&#?[a-zA-Z0-9]{1,10};|https?://\S+")
 
 
 def label_language(label: Column | str) -> Column:
@@ -71,109 +71,171 @@ def grams(word: str) -> list[str]:
     return [padded[i : i + n] for n in SIZES for i in range(len(padded) - n + 1) if padded[i : i + n] != " "]
 
 
-def tokens(text: str | None) -> list[tuple[str, bool]]:
-    """Words, each with whether a sentence ends after it. What is left of markup counts as a gap."""
+class _Ends(dict):
+    """Whether a sentence ends in a gap between words."""
+
+    def __missing__(self, gap: str) -> bool:
+        if len(self) > 100_000:
+            self.clear()
+        self[gap] = out = bool(_END.search(gap))
+        return out
+
+
+_ENDS = _Ends()
+
+
+def _words_and_ends(text: str | None) -> tuple[tuple[str, ...], list[bool]]:
+    """Words, and of each whether a sentence ends after it. What is left of markup counts as a gap."""
     if not text:
-        return []
-    return [(word, bool(_END.search(gap))) for word, gap in words_and_gaps(_MARKUP.sub(" ", text) if "<" in text or "&" in text or "http" in text else text)]
+        return (), []
+    found = words_and_gaps(_MARKUP.sub(" ", text) if "<" in text or "&" in text or "http" in text else text)
+    if not found:
+        return (), []
+    words, gaps = zip(*found, strict=True)
+    return words, list(map(_ENDS.__getitem__, gaps))
+
+
+def tokens(text: str | None) -> list[tuple[str, bool]]:
+    return list(zip(*_words_and_ends(text), strict=True))
+
+
+class _Words(dict):
+    """A number for each word; what is known of it is worked out once."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> int:
+        self[word] = out = self.learn(word)
+        return out
 
 
 class Profiles:
-    """Rank-order profiles of several languages, with the costs and n-grams of words as far as they are known."""
+    """Rank-order profiles of several languages. N-grams are numbered, those of the profiles first, in order of their names.
+
+    A worker keeps of each distinct word its cost in every language and the numbers of its n-grams, and counts n-grams of
+    many stretches at once by sorting numbers.
+    """
 
     def __init__(self, ranked: dict[str, list[str]]):
         self.languages = [x for x in sorted(ranked) if ranked[x]]
-        self.rows: dict[str, int] = {}
-        for language in self.languages:
-            for gram in ranked[language][:PROFILE]:
-                self.rows.setdefault(gram, len(self.rows))
+        known = sorted({g for x in self.languages for g in ranked[x][:PROFILE]})
+        self.rows = {gram: i for i, gram in enumerate(known)}
         # the last row is that of n-grams that no profile has
-        self.places = np.full((len(self.rows) + 1, len(self.languages)), PROFILE, np.float64)
+        self.places = np.full((len(known) + 1, len(self.languages)), PROFILE, np.float64)
         for i, language in enumerate(self.languages):
             for place, gram in enumerate(ranked[language][:PROFILE]):
                 self.places[self.rows[gram], i] = place
-        self._words: dict[str, int] = {}
-        self._grams: dict[str, tuple[str, ...]] = {}
-        self._costs = np.zeros((1024, len(self.languages)))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers: dict[str, int] = dict(self.rows)
+        self.words = _Words(self._learn)
+        self.costs = np.zeros((1024, len(self.languages)))
+        self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.used = np.zeros(16_384, np.int64), 0
 
     def ranked(self) -> dict[str, list[str]]:
         grams = list(self.rows)
         return {x: [grams[g] for g in np.argsort(self.places[:-1, i], kind="stable") if self.places[g, i] < PROFILE] for i, x in enumerate(self.languages)}
 
     def forget(self, most: int = 500_000) -> None:
-        """Drops what is known of words if that is much; rows of costs given before are then void."""
-        if len(self._words) > most or len(self._grams) > most:
-            self._words.clear()
-            self._grams.clear()
-
-    def grams(self, word: str) -> tuple[str, ...]:
-        """A word's n-grams; none of words with digits, which belong to no language."""
-        out = self._grams.get(word)
-        if out is None:
-            self._grams[word] = out = tuple(grams(word)) if word.isalpha() else ()
+        """Drops what is known of words if that is much; numbers given before are then void."""
+        if len(self.words) > most or len(self.numbers) - len(self.rows) > 4 * most:
+            self._clear()
+
+    def _learn(self, word: str) -> int:
+        """The number of a new word. Words with digits belong to no language: they cost nothing and have no n-grams."""
+        at = len(self.words)
+        if at >= len(self.costs):
+            self.costs, self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.costs, self.first, self.size))
+        if any(c.isdigit() for c in word):
+            return at
+        own = [self.numbers.setdefault(g, len(self.numbers)) for g in grams(word)]
+        if self.languages:
+            costs = np.log1p(self.places[np.minimum(own, len(self.rows))]).mean(0)
+            self.costs[at] = costs - costs.min()
+        if word.isalpha():
+            while self.used + len(own) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : self.used + len(own)] = own
+            self.first[at], self.size[at] = self.used, len(own)
+            self.used += len(own)
+        return at
+
+    def numbered(self, words) -> np.ndarray:
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+
+    def _grams(self, words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``stretch, n-gram`` of every n-gram of the words, which belong to the stretches ``of``."""
+        size = self.size[words]
+        at = np.arange(size.sum()) + np.repeat(self.first[words] - (np.cumsum(size) - size), size)
+        return np.repeat(of, size), self.flat[at]
+
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        """How often each n-gram occurs, by its number."""
+        return np.bincount(self._grams(words, np.zeros(len(words), np.int64))[1], minlength=len(self.numbers))
+
+    def distances(self, words: np.ndarray, of: np.ndarray, n: int, most: int = TEXT_PROFILE) -> np.ndarray:
+        """Out-of-place distance, from 0 to 1, of each of ``n`` stretches' most frequent n-grams to every profile; 1 without n-grams.
+
+        Of n-grams equally frequent those of the profiles come first, in order of their names.
+        """
+        out = np.ones((n, len(self.languages)))
+        stretch, gram = self._grams(words, of)
+        if not len(gram):
+            return out
+        many, top = len(self.numbers), 1 << 20
+        code = stretch * many + gram
+        code.sort()
+        edge = np.flatnonzero(np.diff(code, prepend=-1))
+        often = np.minimum(np.diff(np.append(edge, len(code))), top - 1)
+        # n-grams of a stretch from the most frequent down
+        order = (code[edge] // many * top + (top - 1 - often)) * many + code[edge] % many
+        order.sort()
+        stretch, gram = order // (many * top), order % many
+        begin = np.flatnonzero(np.diff(stretch, prepend=-1))
+        rank = np.arange(len(stretch)) - np.repeat(begin, np.diff(np.append(begin, len(stretch))))
+        stretch, gram, rank = stretch[rank < most], gram[rank < most], rank[rank < most]
+        places = self.places[np.minimum(gram, len(self.rows))]
+        apart = np.where(places >= PROFILE, PROFILE, np.abs(places - rank[:, None]))
+        begin = np.flatnonzero(np.diff(stretch, prepend=-1))
+        held = np.diff(np.append(begin, len(stretch)))
+        out[stretch[begin]] = np.add.reduceat(apart, begin, axis=0) / held[:, None] / PROFILE
         return out
 
-    def lookup(self, found) -> np.ndarray:
-        last, rows = len(self.rows), self.rows
-        return self.places[[rows.get(g, last) for g in found]]
-
-    def cost(self, word: str) -> int:
-        """The row of a word's costs; digits cost nothing, so numbers go with what stands around them."""
-        row = self._words.get(word)
-        if row is None:
-            row = len(self._words)
-            if row >= len(self._costs):
-                self._costs = np.concatenate([self._costs, np.zeros_like(self._costs)])
-            if any(c.isdigit() for c in word):
-                self._costs[row] = 0
-            else:
-                costs = np.log1p(self.lookup(grams(word))).mean(0)
-                self._costs[row] = costs - costs.min()
-            self._words[word] = row
-        return row
-
-    def counts(self, words) -> Counter:
-        return Counter(chain.from_iterable(map(self.grams, words)))
-
-    def distances(self, counts: Counter, most: int = TEXT_PROFILE) -> np.ndarray:
-        """Out-of-place distance of a text's most frequent n-grams to each profile, from 0 to 1; equally frequent ones in order of appearance."""
-        top = sorted(counts.items(), key=itemgetter(1), reverse=True)[:most]
-        if not top:
-            return np.ones(len(self.languages))
-        places = self.lookup(g for g, _ in top)
-        apart = np.abs(places - np.arange(len(top))[:, None])
-        apart[places >= PROFILE] = PROFILE
-        return apart.mean(0) / PROFILE
-
     def decode(self, sentences: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        """The cheapest sequence of languages for each of several texts, given as rows of costs and ends of sentences."""
+        """The cheapest sequence of languages for each of several texts, given as numbers of words and ends of sentences."""
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(sentences)
-        order = sorted(range(len(sentences)), key=lambda i: len(sentences[i][0]))
-        for start in range(0, len(order), 128):
-            own = order[start : start + 128]
-            longest = len(sentences[own[-1]][0])
+        order = sorted(range(len(sentences)), key=lambda i: len(sentences[i][0]), reverse=True)
+        while order:
+            longest = len(sentences[order[0]][0])
             if not longest:
-                continue
+                break
+            take = max(1, BLOCK_CELLS // longest)
+            own, order = order[:take], order[take:]
             rows, ends = np.full((len(own), longest), -1), np.zeros((len(own), longest), bool)
             for k, i in enumerate(own):
                 n = len(sentences[i][0])
                 rows[k, :n], ends[k, :n] = sentences[i]
-            costs = np.where((rows >= 0)[:, :, None], self._costs[rows], 0.0)
-            total = costs[:, 0].copy()
+            costs = np.where((rows >= 0)[:, :, None], self.costs[rows], 0.0).transpose(1, 0, 2)
+            price = np.where(ends, CHANGE_AT_END, CHANGE).T
+            total = costs[0].copy()
             came = np.empty((longest, *total.shape), np.int8)
-            stay = np.arange(total.shape[1], dtype=np.int8)[None, :]
+            stay, line = np.arange(total.shape[1], dtype=np.int8)[None, :], np.arange(len(own))
             for j in range(1, longest):
                 best = total.argmin(1)
-                change = total[np.arange(len(own)), best] + np.where(ends[:, j - 1], CHANGE_AT_END, CHANGE)
-                moved = change[:, None] < total
+                change = (total[line, best] + price[j - 1])[:, None]
+                moved = change < total
                 came[j] = np.where(moved, best[:, None], stay)
-                total = np.where(moved, change[:, None], total) + costs[:, j]
+                total = np.minimum(total, change) + costs[j]
             at = total.argmin(1)
             path = np.empty((longest, len(own)), np.int64)
             for j in range(longest - 1, -1, -1):
                 path[j] = at
                 if j:
-                    at = came[j, np.arange(len(own)), at]
+                    at = came[j, line, at]
             for k, i in enumerate(own):
                 out[i] = path[: len(sentences[i][0]), k]
         return out
@@ -185,41 +247,89 @@ def _confidence(apart: np.ndarray, held: int) -> float:
     return round(float(np.clip(0.5 + (rest.min() - apart[held]) / max(1e-9, rest.min() + apart[held]), 0, 1)), 6) if len(rest) else 1.0
 
 
-def _pieces(found: list[tuple[str, bool]]) -> list[tuple[int, int]]:
+def _pieces(ends: list[bool]) -> list[tuple[int, int]]:
     out, start = [], 0
-    while len(found) - start > PIECE:
-        stop = next((i + 1 for i in range(start + PIECE - 1, start + PIECE // 2, -1) if found[i][1]), start + PIECE)
+    while len(ends) - start > PIECE:
+        stop = next((i + 1 for i in range(start + PIECE - 1, start + PIECE // 2, -1) if ends[i]), start + PIECE)
         out.append((start, stop))
         start = stop
-    return [*out, (start, len(found))] if start < len(found) or not out else out
+    return [*out, (start, len(ends))] if start < len(ends) or not out else out
+
+
+def _ranges(spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all spans, and the number of the span that each belongs to."""
+    if not spans:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    begin, end = np.array(spans, np.int64).T
+    size = end - begin
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size), np.repeat(np.arange(len(spans)), size)
+
+
+class Judged:
+    """Several texts cut into stretches: of each text ``(first word, end, number of its language, distances)``."""
+
+    def __init__(self, profiles: Profiles, texts: list[str | None]):
+        self.profiles = profiles
+        found = [_words_and_ends(t) for t in texts]
+        own = [profiles.numbered(words) for words, _ in found]
+        size = np.array([len(x) for x in own], np.int64)
+        self.first = np.cumsum(size) - size
+        self.flat = np.concatenate(own) if own else np.empty(0, np.int64)
+        cuts = [_pieces(ends) for _, ends in found]
+        paths = iter(profiles.decode([(w[a:b], np.array(e[a:b], bool)) for w, (_, e), c in zip(own, found, cuts, strict=True) for a, b in c]))
+        spans = []
+        for i, c in enumerate(cuts):
+            path = np.concatenate([next(paths) for _ in c])
+            edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)] if len(path) else []
+            spans += [(i, a, b) for a, b in zip(edges, edges[1:], strict=False)]
+        apart = self.distances([(i, a, b) for i, a, b in spans])
+        merged: list[tuple[int, int, int, np.ndarray]] = []
+        again = []
+        for (i, a, b), x in zip(spans, apart, strict=True):
+            if x.min() >= 1 and not self._letters(i, a, b):
+                continue
+            if merged and merged[-1][0] == i and merged[-1][2] == a and int(merged[-1][3].argmin()) == int(x.argmin()):  # one stretch after all
+                merged[-1] = (i, merged[-1][1], b, x)
+                if not again or again[-1] != len(merged) - 1:
+                    again.append(len(merged) - 1)
+            else:
+                merged.append((i, a, b, x))
+        for k, x in zip(again, self.distances([merged[k][:3] for k in again]), strict=True):
+            merged[k] = (*merged[k][:3], x)
+        self.stretches: list[list[tuple[int, int, int, np.ndarray]]] = [[] for _ in texts]
+        for i, a, b, x in merged:
+            self.stretches[i].append((a, b, int(x.argmin()), x))
+
+    def _span(self, i: int, a: int, b: int) -> tuple[int, int]:
+        return int(self.first[i]) + a, int(self.first[i]) + b
+
+    def _letters(self, i: int, a: int, b: int) -> bool:
+        a, b = self._span(i, a, b)
+        return bool(self.profiles.size[self.flat[a:b]].any())
+
+    def distances(self, spans: list[tuple[int, int, int]]) -> np.ndarray:
+        """Distances of stretches ``(text, first word, end)``."""
+        out = [np.ones((0, len(self.profiles.languages)))]
+        for start in range(0, len(spans), 4096):  # so that text, count and n-gram fit into one number
+            at, of = _ranges([self._span(*s) for s in spans[start : start + 4096]])
+            out.append(self.profiles.distances(self.flat[at], of, len(spans[start : start + 4096])))
+        return np.concatenate(out)
+
+    def words(self, i: int, a: int, b: int) -> np.ndarray:
+        a, b = self._span(i, a, b)
+        return self.flat[a:b]
+
+
+def judged(profiles: Profiles, texts: list[str | None]) -> Judged:
+    profiles.forget()
+    return Judged(profiles, texts)
 
 
-def stretches(profiles: Profiles, texts: list[str | None]) -> list[list[tuple[int, int, str, float, Counter]]]:
-    """For each text its stretches ``(first word, end, language, confidence, n-gram counts)``."""
+def stretches(profiles: Profiles, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
+    """For each text its stretches ``(first word, end, language, confidence)``."""
     if not profiles.languages:
         return [[] for _ in texts]
-    profiles.forget()
-    found = [tokens(t) for t in texts]
-    cuts = [_pieces(f) for f in found]
-    parts = [(np.array([profiles.cost(w) for w, _ in f[a:b]], np.int64), np.array([e for _, e in f[a:b]], bool)) for f, c in zip(found, cuts, strict=True) for a, b in c]
-    paths = iter(profiles.decode(parts))
-    out = []
-    for f, c in zip(found, cuts, strict=True):
-        path = np.concatenate([next(paths) for _ in c])
-        own: list[tuple[int, int, str, float, Counter]] = []
-        edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)] if len(path) else []
-        for a, b in zip(edges, edges[1:], strict=False):
-            counts = profiles.counts(w for w, _ in f[a:b])
-            if not counts:
-                continue
-            apart = profiles.distances(counts)
-            if own and own[-1][1] == a and own[-1][2] == profiles.languages[int(apart.argmin())]:  # one stretch after all
-                a, counts = own[-1][0], own[-1][4] + counts
-                apart = profiles.distances(counts)
-                own.pop()
-            own.append((a, b, profiles.languages[int(apart.argmin())], _confidence(apart, int(apart.argmin())), counts))
-        out.append(own)
-    return out
+    return [[(a, b, profiles.languages[held], _confidence(x, held)) for a, b, held, x in own] for own in judged(profiles, texts).stretches]
 
 
 # Spark
@@ -239,27 +349,56 @@ def ranked_profiles(rows: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def _counted(language: str, counts: Counter) -> list[tuple[str, str, int]]:
-    return [(language, gram, n) for gram, n in counts.items()]
+def _counted(profiles: Profiles, by: dict[str, np.ndarray]) -> pd.DataFrame:
+    names = np.array(list(profiles.numbers), object)
+    parts = [pd.DataFrame({"language": language, "gram": names[np.flatnonzero(n)], "n": n[n > 0]}) for language, n in by.items()]
+    return pd.concat(parts) if parts else pd.DataFrame({"language": pd.Series(dtype=str), "gram": pd.Series(dtype=str), "n": pd.Series(dtype="int64")})
+
+
+def _added(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    if a is None or len(a) == len(b):
+        return b if a is None else a + b
+    return np.pad(a, (0, max(0, len(b) - len(a)))) + np.pad(b, (0, max(0, len(a) - len(b))))
+
+
+def sampled(documents: DataFrame, text: str, label: str, sample: int = SAMPLE_DOCS) -> DataFrame:
+    """``(text, language)``: of each language the ``sample`` distinct labelled texts of the lowest hashes, or all if there are fewer.
+
+    Labels are counted first; texts are then read for those hashes that are low enough to be among them, and only hashes
+    are compared. Where copies make them too few, more are looked at. Texts that aren't chosen never leave their scan.
+    """
+    labelled = documents.select(F.col(text).alias("text"), label_language(label).alias("language")).where("language IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    place = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    known = {r["language"]: r["n"] for r in documents.select(label_language(label).alias("language")).where("language IS NOT NULL").groupBy("language").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    share = {x: min(1.0, (1.2 * sample + 200) / n) for x, n in known.items()}
+    while True:
+        limit = F.lit(-1).cast("bigint")
+        for x, part in share.items():
+            limit = F.when(F.col("language") == x, F.lit(min(int(part * 2**63), 2**63 - 1))).otherwise(limit)
+        low = labelled.withColumn("place", place).where(F.col("place") <= limit)
+        ranked = low.select("language", "place").distinct().withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy("place")))
+        picked = [(r["language"], r["place"]) for r in ranked.where(F.col("r") <= sample).collect()]  # at most `sample` numbers for each language
+        got = Counter(x for x, _ in picked)
+        short = [x for x in share if share[x] < 1 and got[x] < sample]
+        if not short:
+            break
+        share.update({x: min(1.0, 4 * share[x]) for x in short})
+    chosen = documents.sparkSession.createDataFrame(picked, "language string, place bigint")
+    return low.join(F.broadcast(chosen), ["language", "place"]).groupBy("language", "place").agg(F.first("text").alias("text")).select("text", "language", "place")
 
 
 def train(documents: DataFrame, text: str, label: str, sample: int = SAMPLE_DOCS) -> Profiles:
     """Profiles from at most ``sample`` labelled documents of each language, trained twice (see above)."""
-    labelled = documents.select(F.col(text).alias("text"), label_language(label).alias("language")).where("language IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    drawn = labelled.withColumn("order", F.xxhash64("text"))
-    part = F.pmod("order", F.lit(64))
-    near = drawn.withColumn("r", F.row_number().over(Window.partitionBy("language", part).orderBy("order", "text"))).where(F.col("r") <= sample)
-    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy("order", "text"))).where(F.col("r") <= sample).select("text", "language")
-    chosen = cut_lineage(chosen.repartition(4 * len(LANGUAGES), "language", F.xxhash64("text")))
+    chosen = cut_lineage(sampled(documents, text, label, sample).repartition(4 * len(LANGUAGES), "place"))
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Profiles({})
         for frame in frames:
-            by: dict[str, Counter] = {}
-            for t, language in zip(frame["text"], frame["language"], strict=True):
-                known.forget()
-                by.setdefault(language, Counter()).update(known.counts(w for w, _ in tokens(t)))
-            yield pd.DataFrame([x for k, c in by.items() for x in _counted(k, c)], columns=["language", "gram", "n"])
+            known.forget()
+            by: dict[str, np.ndarray] = {}
+            for language, texts in frame.groupby("language")["text"]:
+                by[language] = _added(by.get(language), known.counts(known.numbered([w for t in texts for w in _words_and_ends(t)[0]])))
+            yield _counted(known, by)
 
     schema = "language string, gram string, n bigint"
     rough = documents.sparkSession.sparkContext.broadcast(ranked_profiles(chosen.mapInPandas(first, schema)))
@@ -267,12 +406,11 @@ def train(documents: DataFrame, text: str, label: str, sample: int = SAMPLE_DOCS
     def second(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles = Profiles(rough.value)
         for frame in frames:
-            by: dict[str, Counter] = {}
-            for own, language in zip(stretches(profiles, frame["text"].tolist()), frame["language"], strict=True):
-                for _, _, held, _, counts in own:
-                    if held == language:
-                        by.setdefault(language, Counter()).update(counts)
-            yield pd.DataFrame([x for k, c in by.items() for x in _counted(k, c)], columns=["language", "gram", "n"])
+            found = judged(profiles, frame["text"].tolist())
+            own: dict[str, list[np.ndarray]] = {}
+            for i, language in enumerate(frame["language"]):
+                own.setdefault(language, []).extend(found.words(i, a, b) for a, b, held, _ in found.stretches[i] if profiles.languages[held] == language)
+            yield _counted(profiles, {x: profiles.counts(np.concatenate(w)) for x, w in own.items() if w})
 
     return Profiles(ranked_profiles(chosen.mapInPandas(second, schema)))
 
@@ -293,22 +431,23 @@ def identify(documents: DataFrame, profiles: Profiles, key: str = "doc_id", text
         profiles = Profiles(shared.value)
         for frame in frames:
             keys, labels, texts = frame["doc_id"].tolist(), frame["label"].tolist(), frame["text"].tolist()
-            for start in range(0, len(keys), 512):
+            for start in range(0, len(keys), BATCH):
+                ids, known, own = keys[start : start + BATCH], labels[start : start + BATCH], texts[start : start + BATCH]
+                found = judged(profiles, own) if profiles.languages else None
+                spans = [x for x in (found.stretches if found else [[] for _ in own])]
+                several = [i for i, x in enumerate(spans) if len(x) > 1]
+                whole = dict(zip(several, found.distances([(i, spans[i][0][0], spans[i][-1][1]) for i in several]), strict=True)) if several else {}
                 rows = []
-                for k, known, own in zip(keys[start : start + 512], labels[start : start + 512], stretches(profiles, texts[start : start + 512]), strict=True):
-                    if not own:
-                        rows.append((k, known, None, None, None, None, None, 0.0))
+                for i, (k, named) in enumerate(zip(ids, known, strict=True)):
+                    if not spans[i]:
+                        rows.append((k, named, None, None, None, None, None, 0.0))
                         continue
                     share: Counter = Counter()
-                    for a, b, held, _, _ in own:
+                    for a, b, held, _ in spans[i]:
                         share[held] += b - a
                     main = max(share, key=lambda x: (share[x], x))
-                    if len(own) == 1:  # the stretch is the document
-                        sure = own[0][3]
-                    else:
-                        whole = sum((counts for *_, counts in own), Counter())
-                        sure = _confidence(profiles.distances(whole), profiles.languages.index(main))
-                    rows += [(k, known, a, b, held, c, main, round(sure * share[main] / sum(share.values()), 6)) for a, b, held, c, _ in own]
+                    sure = _confidence(whole[i] if i in whole else spans[i][0][3], main)
+                    rows += [(k, named, a, b, profiles.languages[held], _confidence(x, held), profiles.languages[main], round(sure * share[main] / sum(share.values()), 6)) for a, b, held, x in spans[i]]
                 out = pd.DataFrame(rows, columns=columns)
                 yield out.astype({"first_word": "Int32", "end_word": "Int32"})
 

@@ -1,9 +1,9 @@
 """Same and near-same records across splits, by content-defined chunks (problem 3).
 
 ``chunks`` cuts normalised records where a rolling hash over ``window`` characters hits a mask, so that equal stretches
-are cut alike wherever they stand. ``shared`` joins the chunk digests of two sides and sums the lengths of the shared
-chunks into an overlap fraction for each pair of records. Records are reduced to classes of equal text before they are
-cut, so copies cost nothing and a class of a third of all rows is one record.
+are cut alike wherever they stand. ``overlap_fractions`` joins the chunk digests across the sides and sums the lengths of
+the shared chunks into an overlap fraction for each record; ``shared`` does so for each pair of records. Records are
+reduced to classes of equal text before they are cut, so copies cost nothing and a class of a third of all rows is one.
 
 Two kinds of record need other chunks, for which content-defined cuts can't give the required result:
 
@@ -130,6 +130,17 @@ def shared(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, ["digest", "length"]).groupBy("left", "right").agg((total / F.max(F.greatest("left_size", "right_size"))).alias("fraction"))
 
 
+def overlap_fractions(chunked: DataFrame, side: Column) -> DataFrame:
+    """``(record, fraction)``: which part of a record lies in chunks that some record of the other side has; records without such are left out.
+
+    ``side`` is 1 or 2, by the record. Who has a chunk is kept as two bits and not as a list, so a chunk of a third of all
+    records is one row, and no pair of records is made.
+    """
+    held = chunked.withColumn("side", side)
+    who = held.groupBy("digest", "length").agg(F.bit_or("side").alias("sides")).where("sides = 3").select("digest", "length")
+    return held.join(who, ["digest", "length"]).groupBy("record").agg((F.sum(F.col("length") * F.col("times")) / F.max("size")).alias("fraction"))
+
+
 def shared_cells(df: DataFrame, hop: int = 32_000, cells: int = 2) -> DataFrame:
     """``(recording, left, right, fraction)``: segments of two sides that share samples; df: ``recording, index, side``, side 0 or 1.
 

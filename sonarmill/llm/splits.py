@@ -1,15 +1,17 @@
 """Splits that keep related records together, by frontier breadth-first components (problem 6).
 
-Records that share a value of any link column belong together. The link values are the vertices, two values on one
-record are an edge. ``components`` hash-partitions the adjacency lists and expands many seeds at once; where two seeds
-meet, their pair goes into a small graph of seed labels, which is merged at the end by star contraction. A vertex is
-visited once, so the work follows the edges, not the diameter times the vertices.
+Records that share a value of any link column belong together. The link values are the vertices, numbered by a 64-bit
+hash that is checked for collisions; two values on one record are an edge. Most values touch one other value only: they
+follow that value and need no search. What is left, values that tie several others together, is searched: ``reached_labels``
+hash-partitions the adjacency lists and expands many seeds at once; where two seeds meet, their pair goes into a small
+graph of seed labels, which is merged at the end by star contraction. A vertex is visited once, so the work follows the
+edges, not the diameter times the vertices.
 
 ``assign`` puts whole components into splits in the order of their hash, within each stratum of labels. Components of at
 least ``heavy`` of a stratum are placed first, largest first, where most is missing; there are at most 1 / heavy of
 them, so the driver may hold them, and the rest fills what they left.
 
-Defined results: a record whose link values are all null or blank is a component of its own. Records with both labels in
+Defined results: a record whose link values are all null is a component of its own. Records with both labels in
 their component form the stratum ``mixed``, those without a label ``none``. Repeated records change nothing but the
 counts. An empty table gives an empty assignment.
 """
@@ -20,8 +22,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sonarmill.session import cut_lineage
+from sonarmill.session import cut_lineage, release
 
 #: One vertex in so many starts a search at first; then every vertex that no search has reached.
 SEED_ONE_IN = (8, 1)
@@ -29,21 +32,26 @@ HEAVY = 0.01
 RATIOS = {"train": 0.70, "validation": 0.15, "test": 0.15}
 
 
-def link_values(df: DataFrame, key: Column, links: dict[str, Column]) -> DataFrame:
-    """``(key, link, vertex)``: one row per record and link value that is not null."""
+def numbered(df: DataFrame, key: Column, links: dict[str, Column], salts: int = 8) -> DataFrame:
+    """``(key, vertices)``: the numbers of each record's link values that are not null.
+
+    Two values with one number would tie records together that have nothing in common, so a second hash of every value
+    is compared; where it differs, all are numbered anew with another salt.
+    """
     rows = df.select(key.alias("key"), *[v.alias(f"l_{k}") for k, v in links.items()])
-    pairs = F.array(*[F.struct(F.lit(k).alias("link"), F.concat(F.lit(f"{k}="), F.col(f"l_{k}")).alias("vertex")) for k in links])
-    return rows.select("key", F.inline(pairs)).where("vertex IS NOT NULL")
+    for salt in range(salts):
+        hashed = [F.when(F.col(f"l_{k}").isNotNull(), F.struct(F.xxhash64(F.lit(salt), F.lit(k), f"l_{k}").alias("vertex"), F.xxhash64(f"l_{k}", F.lit(k)).alias("check"))) for k in links]
+        each = rows.select("key", F.array_compact(F.array(*hashed)).alias("each"))
+        twice = each.select(F.inline("each")).groupBy("vertex").agg((F.min("check") < F.max("check")).alias("twice")).where("twice")
+        if not twice.head(1):
+            return each.select("key", F.array_distinct(F.transform("each", lambda x: x["vertex"])).alias("vertices"))
+    raise RuntimeError("link values can't be numbered without collisions")
 
 
-def adjacency(values: DataFrame) -> DataFrame:
-    """Distinct undirected edges ``(u, v)`` between the first link value of a record and each further one, both ways.
-
-    Values that touch one other value only are left out where they can't join anything: see ``components``.
-    """
-    first = values.groupBy("key").agg(F.min("vertex").alias("hub"))
-    star = values.join(first, "key").where("vertex <> hub").select(F.col("hub").alias("u"), F.col("vertex").alias("v")).distinct()
-    return star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def edges_of(vertices: DataFrame) -> DataFrame:
+    """Distinct edges ``(u, v)`` with u < v between the least vertex of a record and each other one."""
+    least = F.array_min("vertices")
+    return vertices.select(least.alias("u"), F.explode(F.array_remove(F.col("vertices"), least)).alias("v")).distinct()
 
 
 def _merged(pairs: DataFrame) -> DataFrame:
@@ -52,12 +60,14 @@ def _merged(pairs: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = cut_lineage(small.where("a <> b").distinct())
+        new = cut_lineage(small.where("a <> b").distinct())
+        release(edges)
+        edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("label"), F.col("b").alias("root"))
@@ -73,42 +83,68 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 def _few(parts: list[DataFrame], most: int = 8) -> list[DataFrame]:
     """The same rows in fewer parts, so that many rounds don't add up to very many partitions."""
-    return [cut_lineage(_all(parts).distinct())] if len(parts) > most else parts
-
-
-def components(vertices: DataFrame, edges: DataFrame, one_in: Sequence[int] = SEED_ONE_IN) -> DataFrame:
-    """``(vertex, component)``; vertices: distinct ``vertex``; edges: ``(u, v)`` in both directions."""
-    edges = cut_lineage(edges.repartition("u"))
-    if not edges.head(1):
-        return vertices.select("vertex", F.col("vertex").alias("component"))
-    linked = edges.select(F.col("u").alias("vertex")).distinct()
+    if len(parts) <= most:
+        return parts
+    one = cut_lineage(_all(parts).distinct())
+    release(*parts)
+    return [one]
+
+
+def reached_labels(edges: DataFrame, one_in: Sequence[int] = SEED_ONE_IN) -> DataFrame | None:
+    """``(vertex, component)`` of all vertices of the edges ``(u, v)``, given once each; None without edges."""
+    both = cut_lineage(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u"))
+    if not both.head(1):
+        return None
+    linked = both.select(F.col("u").alias("vertex")).distinct()
     layers: list[DataFrame] = []
     meetings: list[DataFrame] = []
     for k in one_in:
         free = linked.join(_all(layers), "vertex", "left_anti") if layers else linked
         frontier = cut_lineage(free.where(F.pmod(F.xxhash64("vertex"), F.lit(k)) == 0).select("vertex", F.col("vertex").alias("label")))
         while frontier.head(1):
-            layers = _few([*layers, frontier])
+            layers = [*_few(layers), frontier]
             # the frontier is small beside the edges and the vertices seen: both are read in place, and what is shuffled follows the frontier
-            reached = edges.join(frontier.withColumnRenamed("vertex", "u"), "u").select(F.col("v").alias("vertex"), "label").distinct()
-            before = _all(layers).withColumnRenamed("label", "old").join(reached.select("vertex").distinct(), "vertex")
-            met = cut_lineage(reached.join(before, "vertex", "left"))
+            reached = both.join(frontier.withColumnRenamed("vertex", "u"), "u").select(F.col("v").alias("vertex"), "label").distinct()
+            seen = _all(layers).withColumnRenamed("label", "old").join(reached.select("vertex").distinct(), "vertex")
+            met = cut_lineage(reached.join(seen, "vertex", "left"))
             frontier = cut_lineage(met.where("old IS NULL").groupBy("vertex").agg(F.min("label").alias("label")))
             late = met.where("old IS NOT NULL AND old <> label").select(F.col("old").alias("a"), F.col("label").alias("b"))
             same = met.where("old IS NULL").join(frontier.withColumnRenamed("label", "first"), "vertex").where("first <> label").select(F.col("first").alias("a"), F.col("label").alias("b"))
             meetings = _few([*meetings, cut_lineage(late.unionByName(same).distinct())])
-    seen, collisions = _all(layers), _all(meetings)
-    roots = _merged(collisions)
-    labelled = seen.join(roots, "label", "left").select("vertex", F.coalesce("root", "label").alias("component"))
-    return vertices.join(labelled, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
+            release(met)
+    roots = _merged(_all(meetings))
+    found = _all(layers).join(roots, "label", "left").select("vertex", F.coalesce("root", "label").alias("component"))
+    return found
+
+
+def components(edges: DataFrame, one_in: Sequence[int] = SEED_ONE_IN) -> DataFrame:
+    """``(vertex, component)`` of every vertex of the distinct edges ``(u, v)``, u < v, that isn't a component's name itself.
+
+    A vertex with one neighbour follows it, of two with each other the larger one. Only edges between vertices that both
+    have several neighbours are searched.
+    """
+    edges = cut_lineage(edges)
+    ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    known = cut_lineage(ends.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v")))
+    tied = known.where("n > 1").select(F.col("u").alias("vertex"))
+    core = edges.join(tied.withColumnRenamed("vertex", "v"), "v", "left_semi").join(tied.withColumnRenamed("vertex", "u"), "u", "left_semi").select("u", "v")
+    labels = reached_labels(core, one_in)
+    # of a pair with no other neighbour the smaller one is the component
+    single = known.where("n = 1").select(F.col("u").alias("vertex"), F.col("v").alias("above"))
+    lone = single.alias("s").join(known.where("n = 1").select(F.col("u").alias("above"), F.lit(True).alias("mutual")), "above", "left")
+    leaves = lone.where("mutual IS NULL OR above < vertex").select("vertex", "above")
+    if labels is None:
+        return leaves.select("vertex", F.col("above").alias("component"))
+    named = leaves.join(labels.withColumnRenamed("vertex", "above"), "above", "left").select("vertex", F.coalesce("component", "above").alias("component"))
+    return labels.unionByName(named)
 
 
 def record_components(df: DataFrame, key: Column, links: dict[str, Column]) -> DataFrame:
-    """``(key, component)`` for every record; needs a unique ``key``."""
-    values = link_values(df, key, links)
-    found = components(values.select("vertex").distinct(), adjacency(values))
-    named = values.groupBy("key").agg(F.min("vertex").alias("vertex")).join(found, "vertex").select("key", "component")
-    return df.select(key.alias("key")).join(named, "key", "left").select("key", F.coalesce("component", F.concat(F.lit("row="), F.col("key").cast("string"))).alias("component"))
+    """``(key, component)`` for every record: the number of a vertex; null for records without link values. Needs a unique ``key``."""
+    vertices = numbered(df, key, links)
+    found = components(edges_of(vertices))
+    named = vertices.select("key", F.array_min("vertices").alias("vertex"))
+    return named.join(found, "vertex", "left").select("key", F.coalesce("component", "vertex").alias("component"))
 
 
 def component_states(rows: DataFrame, *more: Column) -> DataFrame:
@@ -127,15 +163,15 @@ def violations(states: DataFrame) -> DataFrame:
     return states.select("*", F.explode(F.array_compact(flags)).alias("kind"))
 
 
-def assign(states: DataFrame, ratios: dict[str, float] | None = None, heavy: float = HEAVY, seed: int = 42, ranges: int = 4096) -> DataFrame:
-    """``(component, stratum, n_rows, split)``: a new split for every component of ``component_states``."""
+def assign(states: DataFrame, ratios: dict[str, float] | None = None, heavy: float = HEAVY, seed: int = 42, by: str = "component") -> DataFrame:
+    """``(component, stratum, n_rows, split)``: a new split for every component of ``component_states``, in the order of a digest of ``by``."""
     ratios = ratios or RATIOS
     names = list(ratios)
     if abs(sum(ratios.values()) - 1) > 1e-9 or min(ratios.values()) <= 0:
         raise ValueError("ratios must be positive and sum to 1")
-    order = F.xxhash64(F.lit(seed), "component")
+    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(by).cast("string"))), 1, 15), 16, 10).cast("bigint")
     stratum = F.when(F.col("has_0") + F.col("has_1") == 2, "mixed").when(F.col("has_1") == 1, "1").when(F.col("has_0") == 1, "0").otherwise("none")
-    each = cut_lineage(states.select("component", stratum.alias("stratum"), "n_rows", order.alias("order"), F.shiftright(order, 52).alias("range")))
+    each = cut_lineage(states.select("component", stratum.alias("stratum"), "n_rows", order.alias("order"), F.shiftright(order, 48).alias("range")))
     totals = {r["stratum"]: r["n"] for r in each.groupBy("stratum").agg(F.sum("n_rows").alias("n")).collect()}  # at most four rows
     limit = F.lit(None).cast("double")
     for name, total in totals.items():
@@ -151,7 +187,7 @@ def assign(states: DataFrame, ratios: dict[str, float] | None = None, heavy: flo
     light = each.where("NOT heavy")
     sums = light.groupBy("stratum", "range").agg(F.sum("n_rows").alias("n"))
     w = Window.partitionBy("stratum").orderBy("range")
-    starts = sums.select("stratum", "range", (F.sum("n").over(w) - F.col("n")).alias("start"))  # at most `ranges` rows in a stratum
+    starts = sums.select("stratum", "range", (F.sum("n").over(w) - F.col("n")).alias("start"))  # at most 4,096 rows in a stratum
     within = Window.partitionBy("stratum", "range").orderBy("order", "component")
     middle = F.col("start") + F.sum("n_rows").over(within) - F.col("n_rows") / 2
     split = F.lit(names[0])
@@ -165,5 +201,5 @@ def assign(states: DataFrame, ratios: dict[str, float] | None = None, heavy: flo
             choice = F.when(F.col("middle") <= edge, n).otherwise(choice)
         split = F.when(F.col("stratum") == name, choice).otherwise(split)
     spread = light.join(F.broadcast(starts), ["stratum", "range"]).withColumn("middle", middle).select("component", "stratum", "n_rows", split.alias("split"))
-    known = each.sparkSession.createDataFrame(placed, "component string, split string")
+    known = each.sparkSession.createDataFrame(placed, T.StructType([T.StructField("component", states.schema["component"].dataType), T.StructField("split", T.StringType())]))
     return spread.unionByName(each.where("heavy").join(known, "component").select("component", "stratum", "n_rows", "split"))

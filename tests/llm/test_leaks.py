@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from sonarmill.llm import leaks, words
 
 
@@ -32,6 +34,8 @@ def _brute(docs, items, window=12):
 def test_words():
     assert words.words("Ｃａｆé  naïve­ly a​b “x_y” ½ İ") == ["cafe", "naively", "ab", "x", "y", "1", "2", "i"]
     assert words.words(None) == [] and words.words("...") == []
+    for text in ("Ａ½ é", "été Größe ИЙ й ﬁn", "İstanbul naïve x\u200by", "e\u0301a ℃ ㎏ ª"):  # word by word or as a whole
+        assert words.words(text) == words._WORD.findall(words.normal(text))
 
 
 def test_runs_of_twelve_words_against_brute_force(spark):
@@ -55,6 +59,38 @@ def test_given_documents_against_brute_force(spark):
     assert sorted(tuple(r) for r in p7_found(spark, folder).collect()) == _brute(docs, items)
 
 
+def _exact(docs, items, window=12):
+    """All places within one word edit, without LSH: every pair of windows that share an intact half is compared."""
+    half = window // 2
+    held = {}
+    texts = {k: words.words(t) for k, t in items}
+    for k, w in texts.items():
+        for q in range(len(w) - half + 1):
+            held.setdefault(tuple(w[q : q + half]), []).append((k, q))
+    out = set()
+    for d, text in docs:
+        w = words.words(text)
+        tried = set()
+        for p in range(len(w) - half + 1):
+            for k, q in held.get(tuple(w[p : p + half]), ()):
+                for part in (0, half):
+                    tried.update((k, p - part + moved, q - part) for moved in (-1, 0, 1))
+        for k, at, start in tried:
+            if at >= 0 and 0 <= start <= len(texts[k]) - window and at < len(w) - window + 2 and leaks.edit_distance(texts[k][start : start + window], w[at : at + window + 1] + [""], 1, True) <= 1:
+                out.add((d, k, at, start))
+    return out
+
+
+def test_recall_on_the_given_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    d, i = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "eval_items"))
+    expected = _exact([tuple(r) for r in d.select("doc_id", "text").collect()], [tuple(r) for r in i.select("item_id", "text").collect()])
+    found = {tuple(r)[:4] for r in leaks.found_passages(d, i, edits=1, free_end=True).collect()}
+    pairs = lambda places: {p[:2] for p in places}
+    assert found <= expected and len(found) >= 0.95 * len(expected) > 1000
+    assert len(pairs(found)) >= 0.99 * len(pairs(expected)) > 100
+
+
 def test_recall_with_an_edit(spark):
     draw = random.Random(5)
     vocabulary = [f"v{i}" for i in range(2000)]
@@ -115,6 +151,14 @@ def test_free_end():
     assert leaks.edit_distance(a, list("abxdyf"), 1, True) == 2
 
 
+def test_edit_distances_of_many():
+    draw = np.random.default_rng(4)
+    a, b = draw.integers(0, 4, (400, 6)), draw.integers(0, 4, (400, 7))
+    b[:200, :6] = a[:200]
+    for free_end, right in ((True, b), (False, b[:, :6])):
+        assert leaks.edit_distances(a, right, free_end).tolist() == [leaks.edit_distance(x, y, 9, free_end) for x, y in zip(a.tolist(), right.tolist(), strict=True)]
+
+
 def test_edit_distance_and_tables():
     assert leaks.edit_distance(list("abcd"), list("abcd"), 1) == 0
     assert leaks.edit_distance(list("abcd"), list("abxd"), 1) == 1

@@ -119,6 +119,33 @@ def test_segment_pairs_against_brute_force(spark):
     assert {(r["left"], r["right"]): r["fraction"] for r in fractions.collect()} == {(1, 1): 1.0, (1, 2): 0.5}
 
 
+def test_overlap_fractions_against_brute_force(spark):
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randrange(5, 60)))
+    parts = [word() for _ in range(12)]
+    texts = {i: "".join(draw.choice(parts) for _ in range(draw.randrange(1, 9))) for i in range(80)} | {80: "", 81: "zzzz" * 40}
+    df = spark.createDataFrame(list(texts.items()), "record bigint, text string")
+    got = {r["record"]: r["fraction"] for r in overlap.overlap_fractions(overlap.chunks(df), F.pmod("record", F.lit(2)).cast("int") + 1).collect()}
+    cuts = {i: [(t[a:b]) for a, b, _ in overlap.cut(t)] for i, t in texts.items()}
+    there = [{c for i, own in cuts.items() if i % 2 == side for c in own} for side in (0, 1)]
+    expected = {i: sum(len(c) for c in own if c in there[1 - i % 2]) / len(texts[i]) for i, own in cuts.items() if own}
+    assert got == {i: pytest.approx(x) for i, x in expected.items() if x > 0} and 0 < min(got.values()) < 1 == max(got.values())
+
+
+def test_touched_rows_are_those_in_pairs(spark):
+    recordings = spark.createDataFrame(_recordings(), "row_seq bigint, split string, sha string, print string")
+    segments = spark.createDataFrame([(1, "train", "aa:1"), (2, "train", "aa:2"), (3, "val", "aa:3"), (4, "test", "bb:1"), (5, "train", "AA_0003"), (6, None, "aa:3"), (7, "train", None)], "row_seq bigint, split string, segment string")
+    got = {tuple(r) for r in overlap_queries.touched_rows(recordings, segments).collect()}
+    expected = {("combined_manifest", x) for pair in _pairs(_recordings()) for x in pair} | {("train_shard_manifest", x) for x in (2, 3, 5)}
+    assert got == expected and overlap_queries.touched_rows(recordings.where("false"), segments.where("false")).count() == 0
+
+
+def test_overlaps_of_given_records(spark):
+    rows = overlap_queries.p3_overlaps(spark, "/root/testdata/sf0.001")
+    sides = spark.read.parquet("/root/testdata/sf0.001/combined_manifest.parquet").where(overlap_queries._sided("split").isNotNull()).count()
+    assert rows.agg(F.sum("n_rows")).first()[0] == sides and rows.where("fraction < 0 OR fraction > 1").count() == 0 and rows.where("fraction > 0.5").count() > 0
+
+
 def test_report_counts(spark):
     rows = overlap_queries.p3_report(spark, "/root/testdata/sf0.001")
     assert rows.where("n_overlapping > n_rows").count() == 0 and rows.agg(F.sum("n_overlapping")).first()[0] > 0

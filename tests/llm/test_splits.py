@@ -37,18 +37,52 @@ def test_components_against_union_find(spark, seed, links):
     found = splits.record_components(df, F.col("k"), {"a": F.col("a"), "b": F.col("b")}).collect()
     groups = defaultdict(set)
     for r in found:
-        groups[r["component"]].add(r["key"])
+        groups[("row", r["key"]) if r["component"] is None else r["component"]].add(r["key"])
     assert sorted(map(sorted, groups.values())) == _union_find(rows)
 
 
 def test_components_of_a_long_chain(spark):
     rows = [(i, f"a{i}", f"a{i + 1}") for i in range(60)]
     df = spark.createDataFrame(rows, "k bigint, a string, b string")
-    one = splits.record_components(df.withColumn("b", F.concat(F.lit("x"), "b")).withColumn("a", F.concat(F.lit("x"), "a")), F.col("k"), {"l": F.col("a"), "m": F.col("b")})
+    one = splits.record_components(df, F.col("k"), {"l": F.col("a"), "m": F.col("b")})
     assert one.select("component").distinct().count() == 60  # values of different links are different
-    values = splits.link_values(df, F.col("k"), {"a": F.col("a"), "b": F.col("b")}).withColumn("vertex", F.regexp_replace("vertex", "^b=", "a="))
-    found = splits.components(values.select("vertex").distinct(), splits.adjacency(values))
-    assert found.count() == 61 and found.select("component").distinct().count() == 1
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "u bigint, v bigint")
+    found = splits.components(edges)
+    assert found.count() == found.select("vertex").distinct().count() == 61 and found.select("component").distinct().count() == 1
+    assert splits.reached_labels(edges.where("false")) is None
+
+
+def test_stars_and_pairs_need_no_search(spark, monkeypatch):
+    searched = []
+    monkeypatch.setattr(splits, "reached_labels", lambda core, *_: searched.append(core.count()))
+    edges = spark.createDataFrame([(1, x) for x in range(10, 40)] + [(2, 3), (5, 50), (5, 51), (4, 60), (9, 60)], "u bigint, v bigint")
+    got = {r["vertex"]: r["component"] for r in splits.components(edges).collect()}
+    assert searched == [0]
+    assert got == {**{x: 1 for x in range(10, 40)}, 3: 2, 50: 5, 51: 5, 4: 60, 9: 60}
+
+
+def test_colliding_numbers_are_drawn_anew(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "k bigint, a string")
+    real = F.xxhash64
+    salted = lambda salt: str(salt._jc.toString()) if hasattr(salt, "_jc") else ""
+    monkeypatch.setattr(splits.F, "xxhash64", lambda *c: F.lit(7).cast("bigint") if salted(c[0]) == "0" else real(*c))
+    got = splits.record_components(df, F.col("k"), {"a": F.col("a")}).collect()
+    assert len({r["component"] for r in got}) == 2
+
+
+def test_given_manifest_is_split_without_straddling(spark):
+    from sonarmill.llm.splits_queries import p6_assignment
+
+    rows = p6_assignment(spark, "/root/testdata/sf0.01").collect()
+    shas = {r[0]: (r[1] or "").strip().lower().removeprefix("sha256:") for r in spark.read.parquet("/root/testdata/sf0.01/combined_manifest.parquet").select("row_seq", "sha256").collect()}
+    for key in (lambda r: r["group"], lambda r: shas[r["row_seq"]] or None):
+        held = defaultdict(set)
+        for r in rows:
+            held[key(r)].add(r["new_split"])
+        assert all(len(v) == 1 for k, v in held.items() if k is not None)
+    for label in (0, 1):
+        mine = [r["new_split"] for r in rows if r["label"] == label]
+        assert {s: pytest.approx(mine.count(s) / len(mine), abs=0.01) for s in splits.RATIOS} == splits.RATIOS
 
 
 def _states(spark, sizes):
