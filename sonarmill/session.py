@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,16 +49,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written as a table below the shared checkpoint folder.
+
+    For loops: a checkpoint keeps its plan's estimated size, which joins multiply round by round into numbers so long
+    that planning stalls; a table has the size of its files.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_to"] = path
+    return out
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(*frames: DataFrame) -> None:
-    """Removes what ``cut_lineage`` wrote for these frames. Nothing that will still be read may depend on them."""
+    """Removes what ``cut_lineage`` or ``written`` wrote for these frames. Nothing that will still be read may depend on them."""
     for df in frames:
+        if table := df.__dict__.get("_written_to"):
+            _remove(df.sparkSession, table)
+            continue
         plan = df._jdf.queryExecution().analyzed()
         if plan.getClass().getSimpleName() != "LogicalRDD":
             continue
         file = plan.rdd().getCheckpointFile()
         if file.isDefined():
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(df.sparkSession, file.get())
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
