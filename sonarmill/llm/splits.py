@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonarmill.session import cut_lineage, release
+from sonarmill.session import cut_lineage, release, written
 
 #: One vertex in so many starts a search at first; then every vertex that no search has reached.
 SEED_ONE_IN = (8, 1)
@@ -56,7 +56,7 @@ def edges_of(vertices: DataFrame) -> DataFrame:
 
 def _merged(pairs: DataFrame) -> DataFrame:
     """``(label, root)`` for the small graph of seed labels: star contraction until nothing changes."""
-    edges = cut_lineage(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -65,7 +65,7 @@ def _merged(pairs: DataFrame) -> DataFrame:
         down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        new = cut_lineage(small.where("a <> b").distinct())
+        new = written(small.where("a <> b").distinct())
         release(edges)
         edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -85,7 +85,7 @@ def _few(parts: list[DataFrame], most: int = 8) -> list[DataFrame]:
     """The same rows in fewer parts, so that many rounds don't add up to very many partitions."""
     if len(parts) <= most:
         return parts
-    one = cut_lineage(_all(parts).distinct())
+    one = written(_all(parts).distinct())
     release(*parts)
     return [one]
 
@@ -100,17 +100,17 @@ def reached_labels(edges: DataFrame, one_in: Sequence[int] = SEED_ONE_IN) -> Dat
     meetings: list[DataFrame] = []
     for k in one_in:
         free = linked.join(_all(layers), "vertex", "left_anti") if layers else linked
-        frontier = cut_lineage(free.where(F.pmod(F.xxhash64("vertex"), F.lit(k)) == 0).select("vertex", F.col("vertex").alias("label")))
+        frontier = written(free.where(F.pmod(F.xxhash64("vertex"), F.lit(k)) == 0).select("vertex", F.col("vertex").alias("label")))
         while frontier.head(1):
             layers = [*_few(layers), frontier]
             # the frontier is small beside the edges and the vertices seen: both are read in place, and what is shuffled follows the frontier
             reached = both.join(frontier.withColumnRenamed("vertex", "u"), "u").select(F.col("v").alias("vertex"), "label").distinct()
             seen = _all(layers).withColumnRenamed("label", "old").join(reached.select("vertex").distinct(), "vertex")
-            met = cut_lineage(reached.join(seen, "vertex", "left"))
-            frontier = cut_lineage(met.where("old IS NULL").groupBy("vertex").agg(F.min("label").alias("label")))
+            met = written(reached.join(seen, "vertex", "left"))
+            frontier = written(met.where("old IS NULL").groupBy("vertex").agg(F.min("label").alias("label")))
             late = met.where("old IS NOT NULL AND old <> label").select(F.col("old").alias("a"), F.col("label").alias("b"))
             same = met.where("old IS NULL").join(frontier.withColumnRenamed("label", "first"), "vertex").where("first <> label").select(F.col("first").alias("a"), F.col("label").alias("b"))
-            meetings = _few([*meetings, cut_lineage(late.unionByName(same).distinct())])
+            meetings = _few([*meetings, written(late.unionByName(same).distinct())])
             release(met)
     roots = _merged(_all(meetings))
     found = _all(layers).join(roots, "label", "left").select("vertex", F.coalesce("root", "label").alias("component"))
