@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonarmill.functions import keys
@@ -29,14 +29,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.violations(states).select("kind", F.col("group").alias("recording_group_id"))
 
 
-#: A component is named by its first group, else its first content, else its row: the same on every run and in SQL.
-_NAMED = F.min(F.coalesce(F.concat(F.lit("group="), F.col("group")), F.concat(F.lit("sha="), F.col("sha")), F.concat(F.lit("row="), F.col("row_seq").cast("string"))))
+def _name() -> Column:
+    """A component is named by its first group, else its first content, else its row: the same on every run and in SQL."""
+    return F.min(F.coalesce(F.concat(F.lit("group="), F.col("group")), F.concat(F.lit("sha="), F.col("sha")), F.concat(F.lit("row="), F.col("row_seq").cast("string"))))
 
 
 def _assigned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Rows with their component by group and content, and the name and new split of each component."""
     rows = cut_lineage(_by_component(_rows(spark, d).drop("spelling"), "group", "sha"))
-    states = cut_lineage(splits.component_states(rows, _NAMED.alias("name")))
+    states = cut_lineage(splits.component_states(rows, _name().alias("name")))
     return rows, splits.assign(states, by="name").join(states.select("component", "name"), "component")
 
 
