@@ -85,6 +85,13 @@ def kaist(name: Column) -> Column:
     return F.when(text.rlike(KAIST_NAME), fields)
 
 
+def json_text(text: Column) -> Column:
+    """A JSON text without its byte-order mark; one that is a JSON string holds the text itself."""
+    mark = F.lit("\ufeff")
+    bare = F.ltrim(text, mark)
+    return F.when(F.startswith(F.ltrim(bare), F.lit('"')), F.ltrim(F.get_json_object(bare, "$"), mark)).otherwise(bare)
+
+
 def sound_label(source: Column) -> Column:
     """1 for a drone, 0 for ambient sound, null for anything else."""
     text = F.lower(F.trim(source))

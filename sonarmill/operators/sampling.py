@@ -49,11 +49,11 @@ def draw_with_replacement(df: DataFrame, key: str, probability: str, draws: int,
     units = F.floor(F.col(probability) * UNITS).cast("bigint")
     rows = df.select(F.col(key).cast("bigint").alias("key"), units.alias("units")).where("key IS NOT NULL AND units > 0")
     placed = ordered_totals(rows, [], F.shiftright("key", 16), [F.col("key")], {"upto": F.col("units")}).select("key", (F.col("upto") - F.col("units")).alias("at"))
-    total = rows.agg(F.sum("units").alias("n")).scalar()
+    total = rows.agg(F.sum("units").alias("total")).where("total > 0")
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("bigint")
-    points = df.sparkSession.range(draws).select(F.lit(None).cast("bigint").alias("key"), (drawn % total).alias("at")).where("at IS NOT NULL")
-    width = F.floor(total / STRETCHES) + 1
-    both = placed.withColumn("kind", F.lit(0)).unionByName(points.withColumn("kind", F.lit(1))).withColumn("stretch", F.floor(F.col("at") / width))
+    points = df.sparkSession.range(draws).crossJoin(F.broadcast(total)).select(F.lit(None).cast("bigint").alias("key"), (drawn % F.col("total")).alias("at"))  # one row
+    both = placed.withColumn("kind", F.lit(0)).unionByName(points.withColumn("kind", F.lit(1))).crossJoin(F.broadcast(total))
+    both = both.withColumn("stretch", F.floor(F.col("at") / (F.floor(F.col("total") / STRETCHES) + 1)))
     # the row that reaches into a stretch from an earlier one: a table of at most STRETCHES rows
     last = both.groupBy("stretch").agg(F.max_by("key", F.when(F.col("kind") == 0, F.col("at"))).alias("last"))
     before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)

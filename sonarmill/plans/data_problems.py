@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sonarmill.functions import keys
 from sonarmill.operators import compaction, eager, references, shredding
 from sonarmill.plans import oracle_keys as sql
-from sonarmill.session import read_table
+from sonarmill.session import read_table, written
 
 HEAVY_SHARE = 0.02
 
@@ -16,7 +16,8 @@ HEAVY_SHARE = 0.02
 # problem 1: nested labels
 
 def _shredded(spark: SparkSession, d: str) -> DataFrame:
-    return shredding.shred(read_table(spark, d, "uavirbase_labels"), "label_id", "label").persist()
+    """The node table, written once below the checkpoint folder: each join reads only the names and kinds that it needs."""
+    return written(shredding.shred(read_table(spark, d, "uavirbase_labels"), "label_id", "label"))
 
 
 def _label_objects(nodes: DataFrame) -> dict[str, DataFrame]:

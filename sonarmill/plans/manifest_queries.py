@@ -291,8 +291,8 @@ def segment_id_parts(spark: SparkSession, d: str) -> DataFrame:
 def json_label_parse(spark: SparkSession, d: str) -> DataFrame:
     """Labels and numbers with units out of the nested label texts, by a declared schema; texts that aren't an object give no row."""
     schema = "struct<drone:struct<sound_source:string,distance:string,height:string,azimuth:string>,microphone_array:struct<center_latitude:string>>"
-    texts = read_table(spark, d, "uavirbase_labels").where(F.startswith(keys.strip("label"), F.lit("{")))
-    parsed = texts.select("label_id", "relative_path", F.from_json("label", schema, {"mode": "PERMISSIVE"}).alias("j"))
+    texts = read_table(spark, d, "uavirbase_labels").select("label_id", "relative_path", parsing.json_text(F.col("label")).alias("text"))
+    parsed = texts.where(F.startswith(keys.strip("text"), F.lit("{"))).select("label_id", "relative_path", F.from_json("text", schema, {"mode": "PERMISSIVE"}).alias("j"))
     rows = parsed.select("label_id", parsing.parent(F.col("relative_path")).alias("recording"), parsing.sound_label(F.col("j.drone.sound_source")).alias("binary_label"), parsing.first_number(F.col("j.drone.distance")).alias("distance_m"), parsing.first_number(F.col("j.drone.height")).alias("height_m"), parsing.first_number(F.col("j.microphone_array.center_latitude")).alias("latitude"))
     return rows.where("binary_label IS NOT NULL")
 
@@ -379,7 +379,8 @@ UNION ALL SELECT 'label_outside_domain', count(*) FROM c WHERE binary_label IS N
     "filename_parse_kaist": f"""WITH n AS (SELECT row_seq, regexp_replace(regexp_replace({_STEM.format(c='file_name')}, '_\\d+$', ''), '(?i)[_-](?:mic[12]|ch[12])$', '') AS t FROM combined_manifest WHERE dataset = 'kaist') SELECT row_seq, 1 AS binary_label, upper({_part(_KAIST, 1)}) AS drone_type, upper({_part(_KAIST, 2)}) AS movement, CASE WHEN upper({_part(_KAIST, 2)}) IN ('C', 'CC') THEN upper({_part(_KAIST, 2)}) ELSE '' END AS rotation, upper({_part(_KAIST, 3)}) AS fault, {_part(_KAIST, 4)} AS drone_index, {_part(_KAIST, 5)} AS background, {_part(_KAIST, 6)} AS background_index, CAST({_part(_KAIST, 7)} AS DOUBLE) AS snr_db FROM n WHERE regexp_matches(t, '{_KAIST}')""",
     "path_parts": f"SELECT row_seq, {_BASE} AS base, {_STEM.format(c=_BASE)} AS stem, lower(regexp_extract({_BASE}, '.(\\.[^.]*)$', 1)) AS suffix, CASE WHEN contains(relative_path, '/') THEN regexp_replace(relative_path, '/[^/]*$', '') ELSE '.' END AS parent, regexp_matches(relative_path, '(^|/)\\.\\.(/|$)') OR starts_with(relative_path, '/') AS leaves_root FROM combined_manifest",
     "segment_id_parts": """WITH t AS (SELECT row_seq, trim(segment_id) AS x FROM train_shard_manifest WHERE segment_id IS NOT NULL) SELECT row_seq, CASE WHEN contains(x, ':') THEN regexp_extract(x, '(?s)^(.*):([^:]*)$', 1) ELSE x END AS recording, CASE WHEN contains(x, ':') THEN regexp_extract(x, '(?s)^(.*):([^:]*)$', 2) ELSE '' END AS number, CASE WHEN regexp_matches(x, '^(.*\\S.*):(\\d+)$') THEN regexp_extract(x, '^(.*):(\\d+)$', 1) ELSE x END AS inferred, CASE WHEN x = '' THEN 'empty_segment_id' WHEN regexp_matches(x, '^(.*\\S.*):(\\d+)$') THEN 'segment_id_hash_without_index' ELSE 'full_segment_id_fallback' END AS method, replace(x, ':', '_') AS file_name FROM t""",
-    "json_label_parse": """WITH j AS MATERIALIZED (SELECT label_id, relative_path, label AS x FROM uavirbase_labels WHERE json_valid(label) AND starts_with(ltrim(label), '{')), r AS (SELECT label_id, CASE WHEN contains(relative_path, '/') THEN regexp_replace(relative_path, '/[^/]*$', '') ELSE '.' END AS recording, CASE WHEN lower(trim(json_extract_string(x, '$.drone.sound_source'))) = 'drone' THEN 1 WHEN lower(trim(json_extract_string(x, '$.drone.sound_source'))) IN ('ambient noise', 'ambient', 'background') THEN 0 END AS binary_label,
+    "json_label_parse": """WITH a AS MATERIALIZED (SELECT label_id, relative_path, ltrim(label, chr(65279)) AS x FROM uavirbase_labels WHERE label <> ''), b AS MATERIALIZED (SELECT label_id, relative_path, CASE WHEN json_type(x) = 'VARCHAR' THEN ltrim(json_extract_string(x, '$'), chr(65279)) ELSE x END AS x FROM a WHERE json_valid(x)),
+j AS MATERIALIZED (SELECT * FROM b WHERE json_valid(x) AND json_type(CASE WHEN json_valid(x) THEN x END) = 'OBJECT'), r AS (SELECT label_id, CASE WHEN contains(relative_path, '/') THEN regexp_replace(relative_path, '/[^/]*$', '') ELSE '.' END AS recording, CASE WHEN lower(trim(json_extract_string(x, '$.drone.sound_source'))) = 'drone' THEN 1 WHEN lower(trim(json_extract_string(x, '$.drone.sound_source'))) IN ('ambient noise', 'ambient', 'background') THEN 0 END AS binary_label,
 try_cast(nullif(regexp_extract(json_extract_string(x, '$.drone.distance'), '[0-9.-]+'), '') AS DOUBLE) AS distance_m, try_cast(nullif(regexp_extract(json_extract_string(x, '$.drone.height'), '[0-9.-]+'), '') AS DOUBLE) AS height_m, try_cast(nullif(regexp_extract(json_extract_string(x, '$.microphone_array.center_latitude'), '[0-9.-]+'), '') AS DOUBLE) AS latitude FROM j) SELECT * FROM r WHERE binary_label IS NOT NULL""",
     "background_manifest": "SELECT row_seq, dataset, CASE WHEN dataset = 'esc50' THEN 'wav_files/' || trim(file_name) ELSE 'fold' || trim(fold) || '/' || trim(file_name) END AS relative_path, trim(file_name) AS file_name, 0 AS binary_label, 'official_metadata:no_drone' AS label_origin, category AS source_category, trim(fold) AS source_fold, dataset || ':' || source_id AS recording_group_id FROM background_annotations",
     "canonical_union": "SELECT dataset, binary_label, label_origin, count(*) AS n_rows FROM (SELECT dataset, binary_label, label_origin FROM combined_manifest WHERE binary_label = 1 UNION ALL SELECT dataset, 0, 'official_metadata:no_drone' FROM background_annotations) GROUP BY 1, 2, 3",

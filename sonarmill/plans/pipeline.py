@@ -75,7 +75,7 @@ def prepared_splits(rows: DataFrame, options: Options = Options()) -> tuple[Data
     named = rows.withColumn("order", F.concat_ws("|", (1 - F.col("binary_label")).cast("string"), "dataset", "relative_path"))
     kept = manifests.deduplicate(named, "sha256", "binary_label", "order")
     groups = manifests.group_split(kept, "recording_group_id", "binary_label", seed=options.seed).select(F.col("group").alias("recording_group_id"), "split")
-    return kept.join(groups, "recording_group_id").select("split", *adapters.CANONICAL), manifests.conflicts(named, "sha256", "binary_label", "order").drop("order")
+    return kept.join(groups, "recording_group_id").select("split", *adapters.MANIFEST), manifests.conflicts(named, "sha256", "binary_label", "order").drop("order")
 
 
 def check_sources(canonical: DataFrame) -> None:
@@ -175,7 +175,7 @@ def export_npz(shards: DataFrame, folder: str) -> DataFrame:
 
 
 def validated(files: DataFrame) -> DataFrame:
-    """Header metadata with issues: corrupted, without duration, under 1 s, over 30 s; PASS if there are none."""
+    """Header metadata with issues: corrupted, without duration, under 1 s, over 30 s; PASS if there are none. A container that isn't read has no issue."""
     seconds = F.col("duration_sec")
-    issues = F.concat_ws(", ", F.when(F.col("status") == "CORRUPTED", "corrupted"), F.when(seconds.isNull(), "missing duration"), F.when(seconds < 1.0, "too short").when(seconds > 30.0, "too long"))
+    issues = F.concat_ws(", ", F.when(F.col("status") == "CORRUPTED", "corrupted"), F.when(seconds.isNull() & (F.col("status") != "UNSUPPORTED"), "missing duration"), F.when(seconds < 1.0, "too short").when(seconds > 30.0, "too long"))
     return audio.wav_metadata(files).withColumn("issues", F.when(issues == "", "PASS").otherwise(issues)).withColumn("file_name", parsing.base_name(F.col("path")))

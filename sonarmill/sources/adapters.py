@@ -16,6 +16,13 @@ from sonarmill.functions import parsing
 
 LABEL_SOURCES = ("directory", "filename", "json", "csv")
 CANONICAL = ("dataset", "relative_path", "file_name", "binary_label", "label_origin", "source_category", "source_fold", "recording_group_id", "size_bytes", "sha256")
+#: What a dataset's names or labels say of a recording; null where they don't.
+FACTS = {
+    "extension": "string", "drone_type": "string", "movement": "string", "rotation": "string", "distance_m": "double", "height_m": "double", "azimuth_deg": "double",
+    "recording_start": "string", "recording_end": "string", "temperature_c": "double", "humidity_percent": "double", "wind_speed_ms": "double", "wind_direction_deg": "double",
+    "latitude": "double", "longitude": "double",
+}
+MANIFEST = (*CANONICAL, *FACTS)
 
 
 @dataclass(frozen=True)
@@ -64,10 +71,11 @@ def directory_label(path: Column, labels: tuple[tuple[str, int], ...]) -> Column
     return out
 
 
-def _rows(files: DataFrame, dataset: Column, label: Column, origin: Column, group: Column, category: Column | None = None, fold: Column | None = None) -> DataFrame:
+def _rows(files: DataFrame, dataset: Column, label: Column, origin: Column, group: Column, category: Column | None = None, fold: Column | None = None, facts: dict[str, Column] | None = None) -> DataFrame:
     path = F.col("relative_path")
     none = F.lit(None).cast("string")
-    out = files.select(dataset.alias("dataset"), path.alias("relative_path"), parsing.base_name(path).alias("file_name"), label.cast("int").alias("binary_label"), origin.alias("label_origin"), (none if category is None else category).alias("source_category"), (none if fold is None else fold).alias("source_fold"), group.alias("recording_group_id"), "size_bytes", "sha256")
+    known = {"extension": parsing.suffix(path)} | (facts or {})
+    out = files.select(dataset.alias("dataset"), path.alias("relative_path"), parsing.base_name(path).alias("file_name"), label.cast("int").alias("binary_label"), origin.alias("label_origin"), (none if category is None else category).alias("source_category"), (none if fold is None else fold).alias("source_fold"), group.alias("recording_group_id"), "size_bytes", "sha256", *[known.get(name, none).cast(kind).alias(name) for name, kind in FACTS.items()])
     return out.where("binary_label IS NOT NULL")
 
 
@@ -82,13 +90,21 @@ def by_directory(rule: Rule, files: DataFrame) -> DataFrame:
 def by_ddl_name(rule: Rule, files: DataFrame) -> DataFrame:
     path = F.col("relative_path")
     parsed = files.withColumn("m", parsing.ddl(parsing.stem(path)))
-    return _rows(parsed, F.lit(rule.name), F.col("m.binary_label"), F.col("m.label_origin"), F.concat(F.lit(rule.name + ":"), F.when(parsing.parent(path) == ".", parsing.stem(path)).otherwise(parsing.parent(path))))
+    return _rows(parsed, F.lit(rule.name), F.col("m.binary_label"), F.col("m.label_origin"), F.concat(F.lit(rule.name + ":"), F.when(parsing.parent(path) == ".", parsing.stem(path)).otherwise(parsing.parent(path))), facts={
+        **{name: F.col(f"m.{name}") for name in ("drone_type", "azimuth_deg", "distance_m", "height_m", "temperature_c")},
+        "recording_start": F.date_format("m.recording_start", "yyyy-MM-dd'T'HH:mm:ss"),
+    })
 
 
 def by_kaist_name(rule: Rule, files: DataFrame) -> DataFrame:
     path = F.col("relative_path")
     parsed = files.withColumn("m", parsing.kaist(parsing.stem(path)))
-    return _rows(parsed, F.lit(rule.name), F.col("m.binary_label"), F.lit("kaist:filename_metadata"), F.concat(F.lit(rule.name + ":"), F.regexp_replace(parsing.stem(path), "_\\d+_?$", "")))
+    return _rows(parsed, F.lit(rule.name), F.col("m.binary_label"), F.lit("kaist:filename_metadata"), F.concat(F.lit(rule.name + ":"), F.regexp_replace(parsing.stem(path), "_\\d+_?$", "")), facts={name: F.col(f"m.{name}") for name in ("drone_type", "movement", "rotation")})
+
+
+_WEATHER = ", ".join(f"`{x}`: string, {x.replace(' ', '_')}: string" for x in ("air temperature", "air humidity", "wind speed", "wind direction"))
+LABEL_SCHEMA = f"""struct<drone: struct<sound_source: string, type: string, movement: string, rotation: string, distance: string, height: string, azimuth: string>, start_recording_time: string, end_recording_time: string,
+weather_data: struct<measurements: struct<{_WEATHER}>>, microphone_array: struct<center_latitude: string, center_longitude: string>>"""
 
 
 def by_label_json(rule: Rule, files: DataFrame, texts: DataFrame) -> DataFrame:
@@ -97,10 +113,15 @@ def by_label_json(rule: Rule, files: DataFrame, texts: DataFrame) -> DataFrame:
     audio = files.where(parsing.suffix(path).isin(*parsing.AUDIO_SUFFIXES)).withColumn("home", parsing.parent(path))
     order = F.struct((F.lower(parsing.base_name(path)) != "output.wav").alias("other"), path.alias("path"))
     chosen = audio.groupBy("home").agg(F.min_by(F.struct("relative_path", "size_bytes", "sha256"), order).alias("f"))
-    schema = "struct<drone:struct<sound_source:string>>"
-    labels = texts.select(parsing.parent(path).alias("home"), F.from_json("text", schema, {"mode": "PERMISSIVE"}).alias("j")).select("home", parsing.sound_label(F.col("j.drone.sound_source")).alias("label"))
-    joined = labels.where("label IS NOT NULL").join(chosen, "home").select("home", "label", "f.*")
-    return _rows(joined, F.lit(rule.name), F.col("label"), F.lit("label_json:sound_source"), F.concat(F.lit(rule.name + ":"), F.col("home")))
+    labels = texts.select(parsing.parent(path).alias("home"), F.from_json(parsing.json_text(F.col("text")), LABEL_SCHEMA, {"mode": "PERMISSIVE"}).alias("j")).withColumn("label", parsing.sound_label(F.col("j.drone.sound_source")))
+    joined = labels.where("label IS NOT NULL").join(chosen, "home").select("home", "label", "j", "f.*")
+    number = lambda name: parsing.first_number(F.col(f"j.{name}"))
+    weather = lambda name: F.coalesce(number(f"weather_data.measurements.`{name}`"), number(f"weather_data.measurements.{name.replace(' ', '_')}"))
+    return _rows(joined, F.lit(rule.name), F.col("label"), F.lit("label_json:sound_source"), F.concat(F.lit(rule.name + ":"), F.col("home")), facts={
+        "drone_type": F.col("j.drone.type"), "movement": F.col("j.drone.movement"), "rotation": F.col("j.drone.rotation"), "distance_m": number("drone.distance"), "height_m": number("drone.height"), "azimuth_deg": number("drone.azimuth"),
+        "recording_start": F.col("j.start_recording_time"), "recording_end": F.col("j.end_recording_time"), "temperature_c": weather("air temperature"), "humidity_percent": weather("air humidity"), "wind_speed_ms": weather("wind speed"), "wind_direction_deg": weather("wind direction"),
+        "latitude": number("microphone_array.center_latitude"), "longitude": number("microphone_array.center_longitude"),
+    })
 
 
 def by_annotations(rule: Rule, files: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -135,6 +156,13 @@ def rows_of(rule: Rule, *inputs: DataFrame) -> DataFrame:
     return ADAPTERS[rule.name](rule, *inputs)
 
 
+def skipped(rule: Rule, files: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(dataset, n_files, n_rows, n_skipped)``: audio files listed, read into rows and left out, as they fit no rule of the dataset."""
+    audio = files.where(parsing.suffix(F.col("relative_path")).isin(*parsing.AUDIO_SUFFIXES)).agg(F.count("*").alias("n_files"))
+    both = audio.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n_rows"))))  # one row each
+    return both.select(F.lit(rule.name).alias("dataset"), "n_files", "n_rows", (F.col("n_files") - F.col("n_rows")).alias("n_skipped"))
+
+
 def with_label(rows: DataFrame, label: int, strict: bool = False) -> DataFrame:
     """The rows of one label. ``strict`` raises at run time if there is another."""
     if strict:

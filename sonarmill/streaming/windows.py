@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -112,8 +113,8 @@ class Progress(StreamingQueryListener):
 
 
 def with_fallback(stream_result, batch_result):
-    """The streaming result, or the batch result of the same transform if the stream fails; its state isn't kept."""
+    """The streaming result, or the batch result of the same transform if the stream fails; its state isn't kept. Other faults are raised."""
     try:
         return stream_result()
-    except Exception:
+    except StreamingQueryException:
         return batch_result()

@@ -9,9 +9,10 @@ import wave
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from sonarmill.plans import stream_queries
+from sonarmill.plans import pipeline, stream_queries
 from sonarmill.sources import adapters, audio, tables
 from sonarmill.streaming import windows
 
@@ -50,6 +51,34 @@ def test_listing_and_headers(spark, folder):
     assert meta["stereo.wav"]["channels"] == 2 and meta["broken.wav"]["status"] == "CORRUPTED" and meta["broken.wav"]["duration_sec"] is None and len(meta["broken.wav"]["sha256"]) == 64
 
 
+def _atom(name, body):
+    return struct.pack(">I", len(body) + 8) + name + body
+
+
+def test_headers_of_other_containers():
+    flac = b"fLaC" + bytes([0x80, 0, 0, 34]) + bytes(10) + (44_100 << 44 | 1 << 41 | 15 << 36 | 88_200).to_bytes(8, "big") + bytes(16)
+    assert audio.header(flac) == (2.0, 44_100, 2, "PCM_16")
+    page = lambda end, body: b"OggS" + bytes(2) + struct.pack("<q", end) + bytes(12) + bytes([1, len(body)]) + body
+    assert audio.header(page(0, b"\x01vorbis" + bytes(4) + struct.pack("<BI", 1, 16_000) + bytes(14)) + page(24_000, b"x")) == (1.5, 16_000, 1, "VORBIS")
+    assert audio.header(page(0, b"OpusHead\x01\x02" + struct.pack("<HI", 312, 44_100) + bytes(3)) + page(48_312, b"x")) == (1.0, 44_100, 2, "OPUS")
+    frame = (2047 << 21 | 3 << 19 | 1 << 17 | 1 << 16 | 9 << 12 | 0 << 10 | 3 << 6).to_bytes(4, "big")  # MPEG-1 layer III, 128 kbit/s, 44.1 kHz, mono
+    assert audio.header(frame + bytes(16_000 * 3 - 4)) == (3.0, 44_100, 1, "MP3")
+    assert audio.header(b"ID3" + bytes([4, 0, 0, 0, 0, 0, 5]) + bytes(5) + frame + bytes(17) + b"Info" + struct.pack(">II", 1, 100) + bytes(99))[0] == pytest.approx(100 * 1152 / 44_100)
+    stsd = _atom(b"stsd", bytes(8) + struct.pack(">I", 36) + b"mp4a" + bytes(16) + struct.pack(">HH", 2, 16) + bytes(4) + struct.pack(">I", 48_000 << 16))
+    track = _atom(b"trak", _atom(b"mdia", _atom(b"mdhd", bytes(12) + struct.pack(">II", 48_000, 120_000) + bytes(4)) + _atom(b"hdlr", bytes(8) + b"soun" + bytes(12)) + _atom(b"minf", _atom(b"stbl", stsd))))
+    film = _atom(b"trak", _atom(b"mdia", _atom(b"mdhd", bytes(12) + struct.pack(">II", 600, 600) + bytes(4)) + _atom(b"hdlr", bytes(8) + b"vide" + bytes(12))))
+    assert audio.header(_atom(b"ftyp", b"M4A ") + _atom(b"moov", film + track)) == (2.5, 48_000, 2, "MP4A")
+    for broken in (b"", b"fLaC", b"RIFF....WAVE", b"OggS", b"ID3", _atom(b"ftyp", b"M4A ") + b"junkjunk" * 3):
+        with pytest.raises(Exception):  # noqa: B017
+            audio.header(broken)
+
+
+def test_unknown_containers_are_no_issue(spark):
+    files = spark.createDataFrame([("a.aac", 5, bytearray(b"\x00\x01\x02\x03\x04")), ("b.wav", 5, bytearray(b"\x00\x01\x02\x03\x04")), ("c.flac", 4, bytearray(b"fLaC"))], "path string, length bigint, content binary")
+    got = {r["path"]: (r["status"], r["issues"]) for r in pipeline.validated(files).collect()}
+    assert got == {"a.aac": ("UNSUPPORTED", "PASS"), "b.wav": ("CORRUPTED", "corrupted, missing duration"), "c.flac": ("CORRUPTED", "corrupted, missing duration")}
+
+
 def test_decoding_with_fallbacks(spark, folder):
     got = {_name(r["path"]): r for r in audio.decoded(audio.audio_files(spark, folder, content=True)).collect()}
     assert len(got["one.wav"]["wave"]) == len(got["TWO.WAV"]["wave"]) == 16_000 and len(got["float.wav"]["wave"]) == 1600
@@ -189,7 +218,12 @@ def test_event_windows_close_with_the_watermark(spark, tmp_path):
     spark.streams.removeListener(reports)
     assert spark.read.parquet(log).count() == rows.count()
     assert windows.drained(windows.session_events(windows.stream_of(spark, sorted_folder)), "append").count() > 0
-    assert windows.with_fallback(lambda: 1 / 0, lambda: "batch") == "batch"
+    def broken():
+        raise StreamingQueryException("lost")
+
+    assert windows.with_fallback(broken, lambda: "batch") == "batch" and windows.with_fallback(lambda: "stream", lambda: "batch") == "stream"
+    with pytest.raises(ZeroDivisionError):
+        windows.with_fallback(lambda: 1 / 0, lambda: "batch")
 
 
 def test_every_query_has_its_columns(spark):
