@@ -97,10 +97,13 @@ def edit_distance(a: list[str], b: list[str], most: int, free_end: bool = False)
     return min(min(row) if free_end else row[-1], most + 1)
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray, free_end: bool = False) -> np.ndarray:
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int, free_end: bool = False) -> np.ndarray:
     """``edit_distance`` of each row of ``a`` to the same row of ``b``, words given as numbers."""
+    width = a.shape[1]
+    if most == 1 and free_end and b.shape[1] == width + 1:
+        return _one_edit(a, b)
     out = np.zeros(len(a), np.int64)
-    todo = np.flatnonzero((a != b[:, : a.shape[1]]).any(1)) if b.shape[1] >= a.shape[1] else np.arange(len(a))
+    todo = np.flatnonzero((a != b[:, :width]).any(1)) if b.shape[1] >= width else np.arange(len(a))
     x, y = a[todo].T, b[todo].T
     row = [np.full(len(todo), j, np.int16) for j in range(len(y) + 1)]
     for i in range(len(x)):
@@ -109,7 +112,22 @@ def edit_distances(a: np.ndarray, b: np.ndarray, free_end: bool = False) -> np.n
             new.append(np.minimum(np.minimum(row[j + 1], new[j]) + 1, row[j] + (x[i] != y[j])))
         row = new
     out[todo] = np.min(row, 0) if free_end else row[-1]
-    return out
+    return np.minimum(out, most + 1)
+
+
+def _one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """0, 1 or 2 for more: behind the first difference the rest must agree in place, moved on by a word or moved back by one."""
+    n, width = a.shape
+
+    def rest(equal: np.ndarray) -> np.ndarray:
+        """Whether all is equal from each word on; past the end it is."""
+        return np.concatenate([np.logical_and.accumulate(equal[:, ::-1], 1)[:, ::-1], np.ones((n, 1), bool)], 1)
+
+    same = a == b[:, :width]
+    first = np.where(same.all(1), width, (~same).argmax(1))
+    line, at = np.arange(n), np.minimum(first, width - 1)
+    near = rest(same)[line, at + 1] | rest(a == b[:, 1:])[line, at] | rest(a[:, 1:] == b[:, : width - 1])[line, at]
+    return np.where(first == width, 0, np.where(near, 1, 2))
 
 
 @functools.lru_cache(maxsize=64)
@@ -220,8 +238,8 @@ def near_starts(block: Block, hit: np.ndarray, window: int, edits: int) -> np.nd
 
 def gathered(flat: np.ndarray, starts: np.ndarray, width: int, blank: int = 0) -> np.ndarray:
     """``width`` words from each start on, blank past the end."""
-    at = starts[:, None] + np.arange(width)
-    return np.where(at < len(flat), flat[np.minimum(at, len(flat) - 1)], flat.dtype.type(blank))
+    padded = np.concatenate([flat, np.full(width, blank, flat.dtype)])
+    return np.lib.stride_tricks.sliding_window_view(padded, width)[starts]
 
 
 class Passages:
@@ -274,13 +292,18 @@ class Passages:
             n = high - low
             ref = self.refs[table][np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)]
             every.append(np.repeat(np.arange(len(keys)), n) * len(self.at) + ref)
-        code = np.unique(np.concatenate(every))
+        code = np.concatenate(every)
+        code.sort()
+        code = code[np.diff(code, prepend=-1) > 0]
         return code // max(1, len(self.at)), code % max(1, len(self.at))
 
     def verified(self, block: Block) -> pd.DataFrame:
         """The block's ``FOUND`` rows, each place once."""
         starts = near_starts(block, self.hit(block.flat), self.window, self.edits)
-        numbers = np.array([self.numbers.get(w, -1) for d in block.docs for w in d], np.int32)
+        numbers = np.full(len(block.flat), -1, np.int32)
+        for doc in np.unique(block.owner(starts)).tolist():
+            own = block.docs[doc]
+            numbers[block.first[doc] : block.first[doc] + len(own)] = [self.numbers.get(w, -1) for w in own]
         out = []
         for a in range(0, len(starts), BLOCK_WINDOWS):
             own = starts[a : a + BLOCK_WINDOWS]
@@ -290,7 +313,7 @@ class Passages:
             doc = block.owner(own[window])
             # what lies behind the document's end belongs to the next one
             right[own[window][:, None] + np.arange(right.shape[1]) >= (block.first + block.counts + self.window - 1)[doc][:, None]] = -1
-            far = edit_distances(left, right, self.free_end)
+            far = edit_distances(left, right, self.edits, self.free_end)
             ok = far <= self.edits
             window, passage, doc = window[ok], passage[ok], doc[ok]
             out.append(pd.DataFrame({"doc_id": block.ids[doc], "item_id": self.ids[passage], "doc_start": own[window] - block.first[doc], "item_start": self.begin[passage], "edits": far[ok]}))

@@ -7,8 +7,10 @@ a use is where the source's cumulative demand, scaled to what it gives, reaches
 range-sorted by position. What a small source can't give isn't made up by others: that would move the shares further
 from their targets.
 
-Schedules are linear: source s has weight ``share * (1 + tilt * (2 t - 1))`` at time t of 0 to 1, so its integral is its
-share whatever its tilt. Demand is ``share * (t + tilt * (t*t - t))`` and is inverted in closed form.
+Schedules are linear: source s has weight ``g * (1 + tilt * (2 t - 1))`` at time t of 0 to 1, g being the tokens it gives,
+so its integral is g whatever its tilt. Its demand until t is ``g * (t + tilt * (t*t - t))`` and is inverted in closed
+form. At time t the mix takes tokens at the summed weights of all sources, and a use's position is their integral: how
+many tokens of the mix come before it. At every position each source then has its weight's share of the summed weights.
 
 Defined results: documents without a source or of a source without target are left out; null and empty texts have no
 tokens and are left out; a source without documents is reported with 0. Target rows that repeat a source are one target
@@ -72,7 +74,7 @@ def supply(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> D
     return rows.withColumn("target_share", share).withColumn("demand", F.least(F.col("n_tokens") * F.col("max_repeats"), F.floor(F.col("target_share") * whole)))
 
 
-def position(used: Column, tilt: Column) -> Column:
+def time_of(used: Column, tilt: Column) -> Column:
     """The time at which a schedule's demand reaches the part ``used`` of its whole: the inverse of t + tilt (t^2 - t)."""
     root = (-(1 - tilt) + F.sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * used)) / (2 * tilt)
     return F.when(F.abs(tilt) < 1e-9, used).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), root)))
@@ -84,7 +86,7 @@ def tilts(max_repeats: Column, strength: float = 0.5) -> Column:
 
 
 def mix(sized: DataFrame, supplied: DataFrame, tilt: Column | None = None, seed: int = 42) -> DataFrame:
-    """Every use of a document: ``position, source, doc_id, pass, n_tokens``, range-sorted by position.
+    """Every use of a document: ``position, source, doc_id, pass, n_tokens``, range-sorted by position, in tokens of the mix.
 
     Documents of passes that are wholly used need no order among passes; a running total over hash ranges places the
     uses of a source, so a source of a third of all documents is spread over many tasks.
@@ -99,7 +101,10 @@ def mix(sized: DataFrame, supplied: DataFrame, tilt: Column | None = None, seed:
     before = F.col("before") + F.col("pass") * F.col("held")
     kept = placed.withColumn("so_far", before).where("so_far < demand")
     used = (F.col("so_far") + F.col("n_tokens") / 2) / F.greatest(F.col("demand"), F.col("so_far") + F.col("n_tokens"))
-    return kept.select(position(used, F.col("tilt")).alias("position"), "source", "doc_id", "pass", "n_tokens").orderBy("position", "source", "doc_id", "pass")
+    whole = wanted.agg(F.sum("demand").cast("double").alias("whole"), F.sum(F.col("demand") * F.col("tilt")).alias("lean"))
+    timed = kept.withColumn("time", time_of(used, F.col("tilt"))).crossJoin(F.broadcast(whole))  # one row
+    passed = F.col("whole") * F.col("time") + F.col("lean") * (F.col("time") * F.col("time") - F.col("time"))
+    return timed.select(passed.alias("position"), "source", "doc_id", "pass", "n_tokens").orderBy("position", "source", "doc_id", "pass")
 
 
 def shares(mixed: DataFrame, supplied: DataFrame) -> DataFrame:

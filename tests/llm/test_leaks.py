@@ -155,8 +155,11 @@ def test_edit_distances_of_many():
     draw = np.random.default_rng(4)
     a, b = draw.integers(0, 4, (400, 6)), draw.integers(0, 4, (400, 7))
     b[:200, :6] = a[:200]
-    for free_end, right in ((True, b), (False, b[:, :6])):
-        assert leaks.edit_distances(a, right, free_end).tolist() == [leaks.edit_distance(x, y, 9, free_end) for x, y in zip(a.tolist(), right.tolist(), strict=True)]
+    for i in range(200):  # a word replaced, inserted or dropped in half of them
+        at = i % 7
+        b[i] = np.insert(np.delete(np.append(b[i], 9), [at] if i % 3 else []), at, 8 if i % 3 != 2 else 7)[:7] if i % 4 else np.delete(np.append(b[i], 5), at)
+    for free_end, right, most in ((True, b, 9), (True, b, 1), (False, b[:, :6], 9), (False, b[:, :6], 1)):
+        assert leaks.edit_distances(a, right, most, free_end).tolist() == [min(most + 1, leaks.edit_distance(x, y, most, free_end)) for x, y in zip(a.tolist(), right.tolist(), strict=True)]
 
 
 def test_edit_distance_and_tables():

@@ -32,21 +32,32 @@ def test_shares_and_caps(spark):
     table = {r["source"]: r for r in mixing.shares(mixed, supplied).collect()}
     assert table["none"]["tokens_used"] == 0 and table["tiny"]["exhausted"] and not table["big"]["exhausted"]
     assert sum(r["actual_share"] for r in table.values()) == pytest.approx(1, abs=1e-4)
-    assert all(0 <= r["position"] <= 1 for r in rows) and [r["position"] for r in rows] == sorted(r["position"] for r in rows)
+    assert all(0 <= r["position"] <= 1.01 * sum(r["n_tokens"] for r in rows) for r in rows) and [r["position"] for r in rows] == sorted(r["position"] for r in rows)
 
 
 def test_positions_follow_the_schedule(spark):
     df = spark.range(101).select((F.col("id") / 100).alias("u"))
     for tilt in (-0.9, -0.25, 0.0, 0.5, 1.0):
-        t = [r[0] for r in df.select(mixing.position(F.col("u"), F.lit(tilt))).collect()]
+        t = [r[0] for r in df.select(mixing.time_of(F.col("u"), F.lit(tilt))).collect()]
         for i, x in enumerate(t):
             assert x + tilt * (x * x - x) == pytest.approx(i / 100, abs=1e-9)
     sized = _sized(spark)
     supplied = mixing.supply(sized, spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int"))
-    early = mixing.mix(sized, supplied, F.when(F.col("source") == "big", -0.8).otherwise(0.8)).where("position < 0.5")
-    held = {r["source"]: r["n"] for r in early.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    whole = {r["source"]: r["n"] for r in mixing.mix(sized, supplied).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    assert held["big"] / whole["big"] == pytest.approx(0.5 + 0.8 / 4, abs=0.02) and held["mid_size"] / whole["mid_size"] == pytest.approx(0.5 - 0.8 / 4, abs=0.02)
+    tilts = {"big": -0.8, "mid_size": 0.8, "tiny": 0.8}
+    rows = mixing.mix(sized, supplied, F.when(F.col("source") == "big", -0.8).otherwise(0.8)).collect()
+    given = Counter()
+    for r in rows:
+        given[r["source"]] += r["n_tokens"]
+    total = sum(given.values())
+    for cut in range(1, 11):  # tokens before a position are the position, and each source has what its schedule says by then
+        upto = [r for r in rows if r["position"] <= cut / 10 * total]
+        assert sum(r["n_tokens"] for r in upto) == pytest.approx(cut / 10 * total, abs=0.01 * total)
+        low, high = 0.0, 1.0
+        for _ in range(50):
+            t = (low + high) / 2
+            low, high = (t, high) if sum(g * (t + tilts[s] * (t * t - t)) for s, g in given.items()) < cut / 10 * total else (low, t)
+        for s, g in given.items():
+            assert sum(r["n_tokens"] for r in upto if r["source"] == s) == pytest.approx(g * (low + tilts[s] * (low * low - low)), abs=0.02 * g + 12)
 
 
 def test_tokens_and_odd_documents(spark):
