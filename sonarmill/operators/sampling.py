@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonarmill.operators.prefix import ordered_totals, quantiles
+from sonarmill.session import cut_lineage
 
 LEAST_HARD, MOST_HARD, STRENGTH, BALANCED, MOMENTUM = 0.5, 2.0, 0.25, 0.90, 0.85
 PATIENCE, MIN_DELTA = 15, 1e-4
@@ -47,7 +48,8 @@ def draw_with_replacement(df: DataFrame, key: str, probability: str, draws: int,
     rows, the seed and the number of draws. Rows without a positive probability are never drawn; without any, none is.
     """
     units = F.floor(F.col(probability) * UNITS).cast("bigint")
-    rows = df.select(F.col(key).cast("bigint").alias("key"), units.alias("units")).where("key IS NOT NULL AND units > 0")
+    # written once: two numbers a row, which sums, places and points read in turn
+    rows = cut_lineage(df.select(F.col(key).cast("bigint").alias("key"), units.alias("units")).where("key IS NOT NULL AND units > 0"))
     placed = ordered_totals(rows, [], F.shiftright("key", 16), [F.col("key")], {"upto": F.col("units")}).select("key", (F.col("upto") - F.col("units")).alias("at"))
     total = rows.agg(F.sum("units").alias("total")).where("total > 0")
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("bigint")

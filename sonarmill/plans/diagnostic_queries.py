@@ -205,9 +205,9 @@ ORACLE = {
     "lineage_full_outer": f"WITH f AS (SELECT {sql.segment_key('segment_id')} AS segment, row_seq, status FROM train_feature_manifest), a AS (SELECT segment, arg_min(status, row_seq) AS status, count(*) AS n_features FROM f WHERE segment IS NOT NULL GROUP BY 1), b AS (SELECT {sql.segment_key('segment_id')} AS segment, count(*) AS n_segments FROM train_segments WHERE {sql.segment_key('segment_id')} IS NOT NULL GROUP BY 1) SELECT coalesce(a.segment, b.segment) AS segment, status, n_features, n_segments FROM a FULL JOIN b ON a.segment = b.segment",
     "feature_health": "WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS f FROM embeddings), r AS (SELECT vec_id, list_max(list_transform(f, lambda v: abs(v))) AS m, list_min([list_stddev_pop(f[1:16]), list_stddev_pop(f[17:32]), list_stddev_pop(f[33:48]), list_stddev_pop(f[49:64])]) AS s, list_transform(f, lambda v: printf('%.2f', v)) AS h FROM x) SELECT vec_id, round(m, 6) AS max_abs, round(s, 6) AS min_channel_std, false AS non_finite, m > 15 AND s < 1e-3 AS blow_up, count(*) OVER (PARTITION BY h) > 1 AS is_repeated FROM r",
     "sampler_weights": f"{_WEIGHTS} SELECT row_seq, round(balanced * 1e6, 6) AS balanced, round(hard * 1e6, 6) AS hard, round(p / sum(p) OVER () * 1e6, 6) AS probability FROM p",
-    "weighted_draw": f"""{_WEIGHTS}, u AS (SELECT row_seq, CAST(floor(p / sum(p) OVER () * 281474976710656) AS BIGINT) AS u FROM p), a AS MATERIALIZED (SELECT row_seq, sum(u) OVER (ORDER BY row_seq) - u AS pos FROM u WHERE u > 0),
-x AS (SELECT ('0x' || left(md5('42|' || i), 15))::BIGINT % (SELECT sum(u) FROM u) AS pos FROM range((SELECT count(*) FROM l)) r(i))
-SELECT a.row_seq, count(*) AS times FROM x ASOF JOIN a ON x.pos >= a.pos GROUP BY 1""",
+    "weighted_draw": f"""{_WEIGHTS}, units AS (SELECT row_seq, CAST(floor(p / sum(p) OVER () * 281474976710656) AS BIGINT) AS u FROM p), placed AS MATERIALIZED (SELECT row_seq, sum(u) OVER (ORDER BY row_seq) - u AS pos FROM units WHERE u > 0),
+x AS (SELECT ('0x' || left(md5('42|' || i), 15))::BIGINT % (SELECT sum(u) FROM units) AS pos FROM range((SELECT count(*) FROM l)) r(i))
+SELECT placed.row_seq, count(*) AS times FROM x ASOF JOIN placed ON x.pos >= placed.pos GROUP BY 1""",
     "training_stop": """WITH RECURSIVE h AS (SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS epoch, avg(CASE WHEN value < 20 THEN 1.0::DOUBLE ELSE 0 END) AS f1, avg(value) AS loss FROM events GROUP BY 1, 2),
 o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch) AS i FROM h),
 s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, -1.0::DOUBLE AS best, CAST(NULL AS INT) AS won, 0 AS idle, 'inf'::DOUBLE AS loss, CAST(NULL AS INT) AS stop FROM o
